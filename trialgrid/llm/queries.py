@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Query name -> module of this subpackage with ``query(spark, sf_dir)``.
 MODULES = {
+    "op3_ngram_join": "op3_ngram_join",
     "op6_sharding": "op6_sharding",
     "op7_mixing": "op7_mixing",
     "op9_quality_rules": "op9_quality_rules",

@@ -89,6 +89,6 @@ def unit(key: Column) -> Column:
     return (F.shiftrightunsigned(key, 11).cast("double") + F.lit(0.5)) * F.lit(2.0**-53)
 
 
-def bucket_count(rows: int, target: int = 4096) -> int:
-    """Buckets to cut ``rows`` ordered rows into, so that one holds about ``target``."""
-    return max(1, -(-rows // target))
+def bucket_count(rows: int, target: int = 512, most: int = 1 << 20) -> int:
+    """Buckets to cut ``rows`` ordered rows into: ``target`` rows each, and more where a million buckets don't suffice."""
+    return max(1, min(most, -(-rows // target)))
