@@ -9,6 +9,7 @@ MODULES = {
     "op3_ngram_join": "op3_ngram_join",
     "op6_sharding": "op6_sharding",
     "op7_mixing": "op7_mixing",
+    "op8_line_dedup": "op8_line_dedup",
     "op9_quality_rules": "op9_quality_rules",
 }
 
