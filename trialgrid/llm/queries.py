@@ -7,6 +7,7 @@ from importlib import import_module
 #: Query name -> module of this subpackage with ``query(spark, sf_dir)``.
 MODULES = {
     "op3_ngram_join": "op3_ngram_join",
+    "op4_language_id": "op4_language_id",
     "op6_sharding": "op6_sharding",
     "op7_mixing": "op7_mixing",
     "op8_line_dedup": "op8_line_dedup",
