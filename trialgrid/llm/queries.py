@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op3_ngram_join": "op3_ngram_join",
     "op4_language_id": "op4_language_id",
+    "op5_personal_data": "op5_personal_data",
     "op6_sharding": "op6_sharding",
     "op7_mixing": "op7_mixing",
     "op8_line_dedup": "op8_line_dedup",
