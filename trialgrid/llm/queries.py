@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Query name -> module of this subpackage with ``query(spark, sf_dir)``.
 MODULES = {
+    "op1_embedding_dedup": "op1_embedding_dedup",
     "op3_ngram_join": "op3_ngram_join",
     "op4_language_id": "op4_language_id",
     "op5_personal_data": "op5_personal_data",
