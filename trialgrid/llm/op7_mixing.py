@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trialgrid.llm.shared import WORD, bucket_count, stored, unit
+from trialgrid.llm.shared import WORD, bucket_count, free_name, small_or_shuffled, stored, unit
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -80,5 +80,18 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "_crc")
 
 
+def take_mix(docs: DataFrame, **how) -> DataFrame:
+    """The mixed documents, each as often as the mix takes it, with all columns of ``docs``.
+
+    Rows equal in doc_id and text get the same number of copies each, the largest that one of them is given.
+    """
+    copies, crc, doc_id = free_name(docs, "copies", "crc", "id")
+    taken = mix_sources(docs, **how).where("copies > 0").groupBy(F.struct("doc_id", F.col("_crc").alias("crc")).alias(doc_id)).agg(F.max("copies").alias(copies))
+    taken = stored(taken)
+    key = F.struct("doc_id", F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(-1)).alias("crc"))
+    rows = docs.withColumn(doc_id, key).join(small_or_shuffled(taken, taken.count()), doc_id)
+    return rows.withColumn(crc, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies).cast("long")))).select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")

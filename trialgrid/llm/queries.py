@@ -7,9 +7,11 @@ from importlib import import_module
 #: Query name -> module of this subpackage with ``query(spark, sf_dir)``.
 MODULES = {
     "op1_embedding_dedup": "op1_embedding_dedup",
+    "op2_bpe": "op2_bpe",
     "op3_ngram_join": "op3_ngram_join",
     "op4_language_id": "op4_language_id",
     "op5_personal_data": "op5_personal_data",
+    "op10_quality_classifier": "op10_quality_classifier",
     "op6_sharding": "op6_sharding",
     "op7_mixing": "op7_mixing",
     "op8_line_dedup": "op8_line_dedup",
@@ -19,8 +21,13 @@ MODULES = {
 
 def queries() -> dict:
     found = {name: import_module(f"{__package__}.{module}").query for name, module in MODULES.items()}
+    import corpus_pipeline
+
+    found["pipeline"] = corpus_pipeline.run
     return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from trialgrid.llm.oracles import SQL
+
+    return dict(SQL)
