@@ -337,5 +337,6 @@ def _written(spans: Column) -> Column:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    of = F.transform(base, lambda s: s["kind"])
+    counts = [F.size(F.filter(of, F.lit(k).__eq__)).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(_written(base).cast("binary"), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"))
