@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from trialgrid.functions import features as ft
 from trialgrid.operators import arrays as ar
-from trialgrid.operators import auc, stats
+from trialgrid.functions.special import beta_q, binom_p, t_p
+from trialgrid.operators import auc, decoders, stats
 from trialgrid.operators import relational as rel
 from trialgrid.sources.tables import SQL_VIEWS, epochs, predictions, table, trials
 
@@ -484,3 +485,74 @@ def heads_and_tails(spark, d):
     t = trials(spark, d)
     pick = lambda order, side: t.withColumn("k", F.row_number().over(Window.partitionBy("subject").orderBy(order, "epoch"))).where("k <= 3").select("subject", "epoch", "value", F.lit(side).alias("side"))
     return pick(F.desc("value"), "head").union(pick(F.col("value"), "tail"))
+
+
+# many small models; no SQL can fit them, tests check gradients, held-out scores and hand-worked cases
+
+
+def _windows(spark: SparkSession, d: str) -> DataFrame:
+    rows = decoders.decoding_inputs(epochs(spark, d), "cls", 16, 16, 0, 64, ["channel", "epoch"])
+    return decoders.folds(rows, ["channel", "smin"], "epoch", 4)
+
+
+@query()
+def decoding_searchlight(spark, d):
+    return decoders.cross_validated(_windows(spark, d), ["channel", "smin"], "epoch")
+
+
+@query()
+def decoding_scores(spark, d):
+    return auc.grouped_auc(decoders.cross_validated(_windows(spark, d), ["channel", "smin"], "epoch"), "y", "proba", ["channel", "smin", "fold"])
+
+
+@query()
+def model_table(spark, d):
+    return decoders.fitted_models(_windows(spark, d), ["channel", "smin"])
+
+
+@query()
+def window_transfer(spark, d):
+    rows = _windows(spark, d)
+    return decoders.transferred(rows, decoders.fitted_models(rows, ["channel", "smin"]), ["channel"], "epoch", F.col("smin") == 0, F.col("smin") == 32)
+
+
+@query()
+def permuted_decoding(spark, d):
+    rows = _windows(spark, d).where("smin = 0")
+    return decoders.cross_validated(decoders.permuted(rows, ["channel", "smin"], "epoch", 3), ["channel", "smin", "permutation"], "epoch", (1.0,))
+
+
+@query()
+def lagged_response_model(spark, d):
+    signal = epochs(spark, d).select("epoch", "channel", F.posexplode("samples").alias("pos", "v"))
+    events = epochs(spark, d).select("epoch", F.lit(10).alias("at"), F.lit(1.0).alias("onset"), F.col("cls").cast("double").alias("cls"))
+    return decoders.lagged_ridge(events, signal, "epoch", ["onset", "cls"], [0, 1, 2, 3], 1.0)
+
+
+@query()
+def clustered_signals(spark, d):
+    return decoders.clustered(epochs(spark, d), "samples", 6, 8).select("epoch", "channel", "cluster")
+
+
+@query()
+def warped_distances(spark, d):
+    rows = ar.collected(ar.evoked(epochs(spark, d).withColumn("site", F.col("epoch") % 25), ["site"]), ["site"], "mean")
+    a, b = rows.select(F.col("site").alias("s"), F.col("samples").alias("a")), rows.select(F.col("site").alias("t"), F.col("samples").alias("b"))
+    return ar.warped_distances(a.join(b, F.col("s") < F.col("t")))
+
+
+@query()
+def resampled_signals(spark, d):
+    return ar.resampled(epochs(spark, d), 32)
+
+
+@query()
+def welch_p_values(spark, d):
+    rows = stats.welch_t(trials(spark, d), "value", "response", ["electrode"], 3)
+    return rows.withColumn("p", t_p("t", "df")).withColumn("stars", ft.stars(F.col("p")))
+
+
+@query()
+def chance_thresholds(spark, d):
+    n = predictions(spark, d).groupBy("site").agg(F.sum("target").cast("double").alias("n_pos"), F.sum(1 - F.col("target")).cast("double").alias("n_neg"))
+    return n.withColumn("upper", beta_q(F.lit(0.95), F.col("n_pos"), F.col("n_neg"))).withColumn("p_majority", binom_p(F.greatest("n_pos", "n_neg"), F.col("n_pos") + F.col("n_neg")))
