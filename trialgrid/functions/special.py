@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def beta_inc(a: float, b: float, x: float) -> float:
@@ -86,11 +87,11 @@ def _column(f, n: int):
     if n == 2:
         def two(a: pd.Series, b: pd.Series) -> pd.Series:
             return apply(a, b)
-        return F.pandas_udf(two, "double")
+        return F.pandas_udf(two, DoubleType())
 
     def three(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
         return apply(a, b, c)
-    return F.pandas_udf(three, "double")
+    return F.pandas_udf(three, DoubleType())
 
 
 t_p = _column(t_tail, 2)
