@@ -82,7 +82,7 @@ def beta_quantile(q: float, a: float, b: float) -> float:
 
 def _column(f, n: int):
     def apply(*series: pd.Series) -> pd.Series:
-        return pd.Series([f(*map(float, row)) if not any(pd.isna(row)) else np.nan for row in zip(*series, strict=True)], dtype=float)
+        return pd.Series([f(*map(float, row)) if not any(pd.isna(v) for v in row) else np.nan for row in zip(*series, strict=True)], dtype=float)
 
     if n == 2:
         def two(a: pd.Series, b: pd.Series) -> pd.Series:
