@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import base64
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,41 +57,40 @@ class RankMap:
         move, row, rank = _overlaid(rows, len(pieces))
         # the optimiser folds each into a constant
         literal = lambda x, kind: F.from_json(F.lit(json.dumps(x)), kind)
-        self.literals = F.struct(
-            literal(move, "array<int>").alias("move"), literal(row, "array<bigint>").alias("row"),
+        self.for_encoding = F.struct(
+            literal(move, "array<int>").alias("move"), literal([ranks[bytes([b])] for b in range(256)], "array<bigint>").alias("bytes"),
             # what the fold keeps of an id before another: the pair's rank, then the id, in one number that sorts by rank
-            literal([r * ID + max(a, 0) for a, r in zip(row, rank, strict=True)], "array<bigint>").alias("state"), literal([NO_RANK * ID + a for a in range(len(pieces))], "array<bigint>").alias("alone"),
-            literal(pieces, "array<binary>").alias("pieces"), literal([ranks[bytes([b])] for b in range(256)], "array<bigint>").alias("bytes"),
+            literal([r * ID + a if a >= 0 else -1 for a, r in zip(row, rank, strict=True)], "array<bigint>").alias("state"), literal([NO_RANK * ID + a for a in range(len(pieces))], "array<bigint>").alias("alone"),
         )
+        self.for_decoding = F.struct(literal(pieces, "array<binary>").alias("pieces"))
         #: Pieces that merging doesn't lead to, as few vocabularies have; such a word is one id all the same.
         self.unmerged = {piece: rank for piece, rank in ranks.items() if len(piece) > 1 and not _reached(piece, ranks)}
 
-    def use(self, work: Callable[[Literals], Column]) -> Column:
-        """``work`` with the literals bound once, so that they stand once in the plan."""
-        return F.element_at(F.transform(F.array(self.literals), lambda bound: work(Literals(bound))), 1)
+    def encode(self, words: Column) -> Column:
+        """Ids of each word. The literals are bound once, so that they stand once in the plan and in a task."""
+        return F.element_at(F.transform(F.array(self.for_encoding), lambda bound: F.transform(words, Literals(bound).encode)), 1)
+
+    def decode(self, ids: Column) -> Column:
+        """Bytes of each word's ids."""
+        return F.element_at(F.transform(F.array(self.for_decoding), lambda bound: F.transform(ids, Literals(bound).decode)), 1)
 
 
 def _overlaid(rows: dict[int, dict[int, int]], n: int) -> tuple[list[int], list[int], list[int]]:
-    """Each row's move, and the array's entries: their rows (-1: free) and values. Long rows are placed first."""
-    longest = max((max(r) for r in rows.values()), default=0) + 1
-    owner, value = np.full(4 * longest + 4 * sum(map(len, rows.values())), -1), np.zeros(4 * longest + 4 * sum(map(len, rows.values())), np.int64)
-    move, low = np.zeros(n, np.int64), longest
+    """Each row's move, and the array's entries: their rows (-1: free) and values. Long rows are placed first.
+
+    Places taken are bits of one long integer; shifted by each column and united, it shows all moves that don't fit.
+    """
+    taken, move, entries = 0, [0] * n, {}
     for a, row in sorted(rows.items(), key=lambda item: (-len(item[1]), item[0])):
-        columns = np.array(sorted(row))
-        step, at = max(1, (1 << 16) // len(columns)), low - columns[0]
-        while True:
-            tried = np.arange(at, at + step)
-            free = (owner[tried[:, None] + columns] < 0).all(1)
-            if free.any():
-                move[a] = tried[free.argmax()]
-                break
-            at += step
-        owner[move[a] + columns] = a
-        value[move[a] + columns] = [row[b] for b in columns.tolist()]
-        while owner[low] >= 0:
-            low += 1
-    used = int(np.flatnonzero(owner >= 0).max(initial=0)) + 1
-    return move.tolist(), owner[:used].tolist(), value[:used].tolist()
+        bad = own = 0
+        for b in row:
+            bad |= taken >> b
+            own |= 1 << b
+        move[a] = (~bad & (bad + 1)).bit_length() - 1  # the lowest bit not set
+        taken |= own << move[a]
+        entries |= {move[a] + b: (a, value) for b, value in row.items()}
+    placed = [entries.get(i, (-1, 0)) for i in range(taken.bit_length())]
+    return move, [a for a, _ in placed], [value for _, value in placed]
 
 
 def _reached(piece: bytes, ranks: dict[bytes, int]) -> bool:
@@ -112,8 +111,8 @@ class Literals:
 
     def _state(self, a: Column, b: Column) -> Column:
         """The fold's number for id a before id b (null: the end). Little arithmetic, as the fold isn't compiled."""
-        at = F.get(self.bound["move"], a.cast("int")) + b.cast("int")
-        return F.coalesce(F.when(F.get(self.bound["row"], at) == a, F.get(self.bound["state"], at)), F.get(self.bound["alone"], a.cast("int")))
+        found = F.get(self.bound["state"], F.get(self.bound["move"], a.cast("int")) + b.cast("int"))
+        return F.when(found.bitwiseAND(F.lit(ID - 1)) == a, found).otherwise(F.get(self.bound["alone"], a.cast("int")))
 
     def encode(self, word: Column) -> Column:
         """Ids of a word, an array of its byte values (or of one negative number, see ``_numbered``): merge the first
@@ -226,8 +225,8 @@ def encode_and_decode(docs: DataFrame, keep: list[str], path: str | None = None,
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]]
     words = rows.mapInArrow(_numbered(pattern, ranks.unmerged), ", ".join(["_fresh boolean, _words array<array<int>>, _numbers binary", *kept]))
     names = [F.col(f"`{c}`") for c in keep]
-    coded = words.select("_fresh", "_numbers", ranks.use(lambda m: F.transform("_words", m.encode)).alias("_ids"), *names)
-    coded = coded.select("_fresh", "_numbers", "_ids", ranks.use(lambda m: F.transform("_ids", m.decode)).alias("_bytes"), *names)
+    coded = words.select("_fresh", "_numbers", ranks.encode(F.col("_words")).alias("_ids"), *names)
+    coded = coded.select("_fresh", "_numbers", "_ids", ranks.decode(F.col("_ids")).alias("_bytes"), *names)
     return coded.mapInArrow(_assembled, ", ".join([*kept, "ids array<int>, decoded binary"]))
 
 
