@@ -26,7 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialgrid.llm.components import components
@@ -39,8 +39,8 @@ SHINGLE = 5
 BAND, SMALL_H = 1.5625, 20
 #: A bucket of more sets than this isn't expanded into pairs; sets, or tokens, of a block that is verified all against all.
 LARGE_BUCKET, BLOCK, BLOCK_TOKENS = 6, 384, 200_000
-#: Entries that a task packs before it sends them.
-PACKED = 1 << 21
+#: Entries that a task packs before it sends them, and bits of a set's sketch at least.
+PACKED, SKETCH_BITS = 1 << 21, 512
 
 @lru_cache(maxsize=None)
 def _band_edges(most: int) -> tuple[int, ...]:
@@ -139,11 +139,29 @@ def _set_ids(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mix(sums[bounds[1:]] - sums[bounds[:-1]] + np.diff(bounds).astype(np.uint64)).view(np.int64)
 
 
+def _sketches(tokens: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
+    """Parity of the tokens that fall on each bit, as 64-bit numbers. Two sets' sketches differ in at most as many bits as
+    the sets differ in tokens, so sketches can rule a pair out for certain. Their length is SKETCH_BITS, doubled until
+    it is 0.64 times the set's size; a sketch folds to half its length by exclusive or of its halves."""
+    size = np.diff(bounds)
+    bits = SKETCH_BITS << np.maximum(0, np.ceil(np.log2(np.maximum(size, 1) * 0.64 / SKETCH_BITS))).astype(np.int64)
+    base = np.concatenate([[0], np.cumsum(bits)])
+    at = np.repeat(base[:-1], size) + (tokens & np.repeat(bits - 1, size).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(at, minlength=base[-1]) & 1).astype(np.uint8)
+    return pa.ListArray.from_arrays(pa.array((base // 64).astype(np.int32)), pa.array(np.packbits(odd).view(np.int64)))
+
+
+def _folded(sketch: str, other: str) -> Column:
+    """``sketch``, folded once if it is longer than ``other``. Sizes that can be similar differ by one doubling at most."""
+    half = (F.size(sketch) / 2).cast("int")
+    return F.when(F.size(sketch) > F.size(other), F.zip_with(F.slice(sketch, 1, half), F.slice(sketch, half + 1, half), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(sketch))
+
+
 def _document_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for chunk in chunks(batch.column("text")):
             tokens, bounds = shingles(chunk, SHINGLE)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id")[chunk.rows], pa.array(np.diff(bounds)), pa.array(_set_ids(tokens, bounds))], names=["doc_id", "n_shingles", "set_id"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id")[chunk.rows], pa.array(np.diff(bounds)), pa.array(_set_ids(tokens, bounds)), _sketches(tokens, bounds)], names=["doc_id", "n_shingles", "set_id", "sketch"])
 
 
 def _packed_signatures(n_parts: int):
@@ -329,7 +347,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    sets = stored(text.mapInArrow(_document_sets, "doc_id long, n_shingles long, set_id long"))
+    sets = stored(text.mapInArrow(_document_sets, "doc_id long, n_shingles long, set_id long, sketch array<long>"))
     n_parts = partitions(spark)
     packed = text.select("text").mapInArrow(_packed_signatures(n_parts), "part int, sig binary, own binary, spare binary")
     found = stored(packed.repartition(n_parts, "part").mapInArrow(_buckets, _FOUND))
@@ -343,19 +361,23 @@ def similar_components(docs: DataFrame) -> DataFrame:
     pairs = stored(pairs.union(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     drop_stored(found)
 
+    # sizes and sketches alone rule most false pairs out before any set moves
+    ends = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
+    known = sets.join(ends, "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n"), F.any_value("sketch").alias("sketch"))
+    known = stored(known.where("doc_id is not null"))
+    x, y = known.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), known.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    apart = F.aggregate(F.zip_with(_folded("sa", "sb"), _folded("sb", "sa"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, k: total + k)
+    near = pairs.join(x, "a").join(y, "b").where("5 * least(na, nb) >= 4 * greatest(na, nb)").where(apart * 9 <= F.col("na") + F.col("nb"))
+    near = stored(near.select("a", "b"))
+    drop_stored(pairs)
+
     # the token sets that verification needs, each from one of its documents
-    wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
-    wanted = stored(sets.join(wanted, "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null"))
+    ends = near.select(F.col("a").alias("set_id")).union(near.select("b")).union(lists.select("set_id")).distinct()
+    wanted = stored(known.join(ends, "set_id").select("doc_id"))
     one = text.join(small_or_shuffled(wanted, wanted.count()), "doc_id")
-    tokens = stored(one.select("text").mapInArrow(_wanted_sets, "set_id long, n long, tokens binary").dropDuplicates(["set_id"]))
-    drop_stored(wanted)
-    x = tokens.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    y = tokens.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    size = tokens.select("set_id", "n")
-    # sizes alone rule some pairs out before any set moves
-    near = pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").where("5 * least(na, nb) >= 4 * greatest(na, nb)").select("a", "b")
+    tokens = stored(one.select("text").mapInArrow(_wanted_sets, "set_id long, n long, tokens binary"))
+    x, y = tokens.select(F.col("set_id").alias("a"), F.col("tokens").alias("ta")), tokens.select(F.col("set_id").alias("b"), F.col("tokens").alias("tb"))
     links = stored(near.join(x, "a").join(y, "b").select("a", "ta", "b", "tb").mapInArrow(_similar, "a long, b long"))
-    drop_stored(pairs)
     group = components(links)
 
     # large buckets whose sets are still in different components: all of their cluster against each other, in blocks
@@ -368,7 +390,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
         links = links.union(stored(_verified_blocks(rest_sets, tokens)))
         group = components(group.toDF("a", "b").union(links))
 
-    root = sets.join(group.toDF("set_id", "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    root = sets.drop("sketch").join(group.toDF("set_id", "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     least = root.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     out = root.join(least, "root", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
@@ -394,9 +416,9 @@ def _verified_blocks(members: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents with the smallest doc_id of each component, with all their columns."""
-    keep = similar_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    """The documents with the smallest doc_id of each component, with all their columns; rows without a doc_id stay."""
+    gone = stored(similar_components(docs).where("doc_id != component_id").select("doc_id").distinct())
+    return docs.join(small_or_shuffled(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
