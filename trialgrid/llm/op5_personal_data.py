@@ -91,10 +91,12 @@ def _features(words: list[str], at: int) -> list[str]:
     digits = _digits(word)
     near = [_shape(words[i].strip(_EDGE)) if 0 <= i < len(words) and _SOME.search(words[i]) else "w" for i in (at - 1, at + 1)]
     shape = _shape(word)
-    parts = word.split(":")
+    parts, octets = word.split(":"), word.split(".")
+    dotted = len(octets) == 4 and all(re.fullmatch("[0-9]{1,18}", p) for p in octets)
     return [
         "b", f"s={shape}", f"p={near[0]}|{shape}", f"n={shape}|{near[1]}", f"n={min(len(digits), 20)}", f"at={word.count('@')}", f"dot={min(word.count('.'), 4)}",
         f"v6={len(parts) >= 3 and all(len(p) <= 4 and re.fullmatch('[0-9a-fA-F]*', p) is not None for p in parts)}",
+        f"v4={dotted and ('in range' if all(int(p) <= 255 for p in octets) else 'out of range')}",
         f"luhn={16 <= len(digits) <= 19 and luhn(digits)}", f"long={len(digits) >= 16}", f"hex={len(word) >= 16 and re.fullmatch('[0-9a-fA-F]+', word) is not None}",
     ]
 
@@ -121,6 +123,7 @@ def labelled_lines(n: int = 700, seed: int = 11) -> list[tuple[list[str], list[s
         lambda: ("phone", [f"+{d(1)}", f"({d(3)})", f"{d(3)}-{d(4)}"]), lambda: ("phone", [f"({d(3)})", f"{d(3)}-{d(4)}"]), lambda: ("phone", [f"{d(3)}-{d(3)}-{d(4)}"]), lambda: ("phone", [f"+{d(2)}", d(3), d(3), d(4)]),
     ]
     others = [
+        lambda: [".".join(str(x) for x in rng.permutation([rng.integers(256, 1000), *rng.integers(0, 1000, 3)]))],
         lambda: [f"{d(1)}.{d(1)}"], lambda: [f"{d(1)}.{d(1)}."], lambda: [f"{d(1)}."], lambda: [f"{d(1)}.{d(1)}.{d(2)}"], lambda: [f"{d(4)}-{d(2)}-{d(2)}"], lambda: [card(False)], lambda: [f"({d(4)})"], lambda: [f"{d(2)}%"],
         lambda: [f'"{hexa(40)}"'], lambda: [hexa(32)], lambda: [d(int(rng.integers(1, 9)))], lambda: [f"{w()}{d(2)}"], lambda: [f"${d(3)}.{d(2)}"], lambda: groups(card(bool(rng.integers(2))), " ").split(), lambda: [f"{d(2)}:{d(2)}"], lambda: [f"{d(2)}:{d(2)}:{d(2)}"], lambda: ["@"], lambda: [f"({d(3)})"], lambda: [f"{d(3)}-{d(4)}"], lambda: [f"+{d(1)}"], lambda: [d(10)], lambda: [f"{d(4)}-{d(4)}"],
     ]
@@ -207,7 +210,7 @@ def train(lines: list[tuple[list[str], list[str]]], steps: int = 70, rate: float
             for f in features:
                 counts[f] = counts.get(f, 0) + 1
     names = {f: i for i, f in enumerate(sorted(f for f, n in counts.items() if n >= 2))}
-    k, n_max, n_feat = len(TAGS), max(map(len, runs)), 11
+    k, n_max, n_feat = len(TAGS), max(map(len, runs)), len(runs[0][0])
     ids = np.full((len(runs), n_max, n_feat), len(names))
     gold, real = np.zeros((len(runs), n_max), int), np.zeros((len(runs), n_max), bool)
     for i, (run, tags) in enumerate(zip(runs, golds, strict=True)):
