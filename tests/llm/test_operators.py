@@ -310,6 +310,28 @@ def test_perplexity(spark, docs):
     assert all(abs(total[h] + back[h] - 1) < 1e-9 for h in total)
 
 
+def test_rare_grams_of_a_large_language(spark):
+    from trialgrid.llm.op10_quality_classifier import classify, kneser_ney
+
+    texts = {1: "the cat sat on a mat " * 60_000, 2: "zqxj vwkp", 3: "a zqxj mat vwkp"}
+    docs = spark.createDataFrame([(k, v, "en") for k, v in texts.items()], "doc_id long, text string, lang string")
+    got = table(classify(docs, docs.where("doc_id < 3").select("doc_id")))
+    data = {k: (v + " ").encode() for k, v in texts.items()}
+    grams = {k: [int.from_bytes(v[i : i + 4], "little") for i in range(len(v) - 3)] for k, v in data.items()}
+    counts = collections.Counter(grams[1] + grams[2])
+    assert sum(counts.values()) > 1_000_000  # a gram seen once is less than a millionth of its language
+    tables = kneser_ney(spark.createDataFrame([("en", g, c) for g, c in counts.items()], "lang string, g long, c long"))
+    p, back = [{r.g: r.p for r in t.collect()} for t in tables[0]], [{r.h: r.back for r in t.collect()} for t in tables[1]]
+
+    def probability(gram, k=3):
+        if k < 0:
+            return 1 / 256
+        return p[k][gram] if gram in p[k] else back[k].get(gram & ((1 << 8 * k) - 1), 1.0) * probability(gram >> 8, k - 1)
+
+    for k, own in grams.items():
+        assert got[k].n_grams == len(own) and got[k].perplexity == pytest.approx(np.exp(-np.mean([np.log(probability(g)) for g in own])), rel=1e-6)
+
+
 def test_components(spark):
     from trialgrid.llm.components import components
 

@@ -3,10 +3,10 @@
 The model is over bytes, order 4, one for each language: letters in lower case, digits as one symbol, white space as
 one blank. Counts of the trusted documents are sharded tables; lower orders hold continuation counts, and the
 probabilities of each order come from joins of its counts with its contexts' sums and with the order below. All counts
-and discounts are of the whole trusted corpus. What scoring needs is the probability of each gram that makes up a fixed
-share of its language's grams, so at most 1 / share grams an order and language, whatever the corpus; a rarer gram is
-scored by backing off. That bounded table is broadcast, since joining every document's grams with the counts would
-shuffle several times the text.
+and discounts are of the whole trusted corpus, and so are the tables that score. Nothing of them is broadcast: documents
+are cut into blocks of some MB, the distinct grams of each block are joined with the probability of every distinct gram,
+and each block then meets its own grams' probabilities. That shuffles the text once and the distinct grams of blocks,
+not those of documents.
 
 A document is kept if its perplexity isn't above its language's threshold: a high quantile of the trusted documents'.
 """
@@ -14,22 +14,23 @@ A document is kept if its perplexity isn't above its language's threshold: a hig
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialgrid.llm.shared import drop_stored, small_or_shuffled, stored
 from trialgrid.llm.textbytes import Chunk, chunks
 
-#: Highest order; a gram's least share in the broadcast table; quantile of trusted perplexities and the slack on it; grams that a verdict needs.
-ORDER, MIN_SHARE, QUANTILE, SLACK, GUARD = 4, 1e-6, 0.995, 1.3, 150
+#: Highest order; quantile of trusted perplexities and the slack on it; grams that a verdict needs.
+ORDER, QUANTILE, SLACK, GUARD = 4, 0.995, 1.3, 150
 #: Grams that a counting task holds before it sums them up.
 HELD = 1 << 23
+#: Bytes of text in a block that is scored at once.
+BLOCK_BYTES = 8 << 20
 
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[[9, 10, 11, 12, 13]] = 32
@@ -120,103 +121,104 @@ def kneser_ney(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame], lis
     return grams, contexts, temporary
 
 
-@dataclass
-class Model:
-    """By language and order: sorted grams with log probabilities, and sorted contexts with log back-off weights."""
-
-    grams: dict[str, list[tuple[np.ndarray, np.ndarray]]]
-    contexts: dict[str, list[tuple[np.ndarray, np.ndarray]]]
-
-    def __post_init__(self) -> None:
-        self._slots: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-    def log_probability(self, lang: str, code: np.ndarray) -> np.ndarray:
-        """Of each gram's last byte after the others."""
-        if lang not in self._slots:  # a first look by hash, so that few grams need a search
-            known, value = self.grams[lang][-1]
-            keys, values = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, np.float32)
-            keys[_slot(known)], values[_slot(known)] = known, value
-            self._slots[lang] = keys, values
-        keys, values = self._slots[lang]
-        at = _slot(code)
-        out, missed = values[at], np.flatnonzero(keys[at] != code)
-        if len(missed):
-            rare, place = np.unique(code[missed], return_inverse=True)
-            out[missed] = self._searched(lang, rare.astype(np.int64))[place]
-        return out
-
-    def _searched(self, lang: str, code: np.ndarray) -> np.ndarray:
-        out, open_ = np.zeros(len(code), np.float32), np.ones(len(code), bool)
-        for k in range(ORDER, 0, -1):
-            gram = code >> 8 * (ORDER - k)
-            found, value = _find(*self.grams[lang][k - 1], gram)
-            now = open_ & found
-            out[now] += value[now]
-            open_ &= ~found
-            seen, back = _find(*self.contexts[lang][k - 1], gram & ((1 << 8 * (k - 1)) - 1))
-            out[open_ & seen] += back[open_ & seen]
-        out[open_] += np.float32(np.log(1 / 256))
-        return out
-
-
-def _slot(code: np.ndarray) -> np.ndarray:
-    return (code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
-
-
-def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.float32)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return keys[at] == wanted, values[at]
-
-
-def train(trusted: DataFrame) -> Model:
-    """``trusted``: lang (not null) and text. What reaches the driver is bounded by 1 / MIN_SHARE an order and language."""
+def train(trusted: DataFrame) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame]]:
+    """``trusted``: lang (not null) and text. As ``kneser_ney``."""
     counts = trusted.mapInArrow(_counted, "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
     counts = stored(counts)
     grams, contexts, temporary = kneser_ney(counts)
+    return grams, contexts, [counts, *temporary]
+
+
+def log_probabilities(wanted: DataFrame, grams: list[DataFrame], contexts: list[DataFrame]) -> DataFrame:
+    """Of distinct 4-grams (lang, g), seen or not: (lang, g, v), the log probability of the last byte after the others.
+
+    Orders go from 1 up, so that no key of a join has more than 256 rows of a language.
+    """
+    out = None
+    for k in range(1, ORDER + 1):
+        own = grams[k - 1].select("lang", "g", F.ln("p").alias("own"))
+        back = contexts[k - 1].select("lang", "h", F.coalesce(F.ln("back"), F.lit(float("nan"))).alias("back"))
+        rows = wanted.select("lang", F.shiftright("g", 8 * (ORDER - k)).alias("g"))
+        rows = rows if k == ORDER else rows.distinct()
+        rows = rows.withColumn("h", F.col("g").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1))).join(own, ["lang", "g"], "left").join(back, ["lang", "h"], "left")
+        if out is None:
+            rows = rows.withColumn("lower", F.lit(float(np.log(1 / 256))))
+        else:
+            rows = rows.withColumn("s", F.shiftright("g", 8)).join(out.select("lang", F.col("g").alias("s"), F.col("v").alias("lower")), ["lang", "s"])
+        out = rows.select("lang", "g", F.coalesce("own", F.coalesce("back", F.lit(0.0)) + F.col("lower")).alias("v"))
+    return out
 
-    def bounded(tables: list[DataFrame], key: str, size: str, value: str) -> pd.DataFrame:
-        parts = []
-        for k, table in enumerate(tables):
-            total = F.broadcast(table.groupBy("lang").agg(F.sum(size).alias("of")))  # a row per language
-            parts.append(table.join(total, "lang").where(F.col(size) >= F.col("of") * MIN_SHARE).select("lang", F.lit(k).alias("k"), F.col(key).alias("key"), F.ln(value).cast("float").alias("v")))
-        return reduce(DataFrame.union, parts).toPandas()
-
-    def split(frame: pd.DataFrame, langs: list[str]) -> dict[str, list[tuple[np.ndarray, np.ndarray]]]:
-        frame = frame.sort_values(["lang", "k", "key"])
-        by = {name: (part["key"].to_numpy(np.int64), part["v"].to_numpy(np.float32)) for name, part in frame.groupby(["lang", "k"])}
-        none = (np.zeros(0, np.int64), np.zeros(0, np.float32))
-        return {lang: [by.get((lang, k), none) for k in range(ORDER)] for lang in langs}
-
-    g, h = bounded(grams, "g", "c", "p"), bounded(contexts, "h", "total", "back")
-    langs = sorted(g["lang"].unique())
-    for table in [counts, *temporary]:
-        drop_stored(table)
-    return Model(split(g, langs), split(h, langs))
-
-
-def _scored(learned):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = learned.value
-        for batch in batches:
-            langs = np.array(batch.column("lang").to_pylist(), object)
-            for chunk in chunks(batch.column("text")):
-                code, bounds = _grams(chunk)
-                of, n = langs[chunk.rows], np.diff(bounds)
-                total = np.full(len(n), np.nan)
-                for lang in set(of.tolist()) & model.grams.keys():
-                    which = np.flatnonzero((of == lang) & (n > 0))
-                    if len(which):
-                        own = code[np.repeat(of == lang, n)]
-                        starts = np.concatenate([[0], np.cumsum(n[which])[:-1]])
-                        total[which] = np.add.reduceat(model.log_probability(lang, own).astype(np.float64), starts)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    value = np.exp(-total / n)
-                rest = [c[chunk.rows] for c in batch.columns[1:]]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(n.astype(np.int64)), pa.array(value, mask=np.isnan(value))], names=[*batch.schema.names[1:], "n_grams", "perplexity"])
-
-    return run
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches with each row's block: BLOCK_BYTES of text in a row of one task."""
+    first, seen = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        if batch.num_rows:
+            size = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+            end = seen + np.cumsum(size)
+            yield batch, first + (end - size) // BLOCK_BYTES
+            seen = int(end[-1])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, block in _numbered(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(block), *batch.columns], names=["block", *batch.schema.names])
+
+
+def _block_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct grams of each block and language: block, lang, g."""
+    held: dict[str, list[np.ndarray]] = {}
+    now = -1
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for lang, parts in held.items():
+            gram = np.unique(np.concatenate(parts))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), now)), pa.array([lang] * len(gram), pa.string()), pa.array(gram.astype(np.int64))], names=["block", "lang", "g"])
+        held.clear()
+
+    for batch, block in _numbered(batches):
+        langs = np.array(batch.column("lang").to_pylist(), object)
+        for chunk in chunks(batch.column("text")):
+            code, bounds = _grams(chunk)
+            n = np.diff(bounds)
+            row, of = np.repeat(langs[chunk.rows], n), np.repeat(block[chunk.rows], n)
+            for b in np.unique(of).tolist():
+                if b != now:
+                    yield from rows()
+                    now = b
+                for lang in set(row[of == b].tolist()):
+                    held.setdefault(lang, []).append(np.unique(code[(of == b) & (row == lang)]))
+    yield from rows()
+
+
+def _scored(docs: pa.Table, values: pa.Table) -> pa.Table:
+    """A block's documents (block, text, doc_id, lang) by its grams' log probabilities (block, lang, g, v)."""
+    docs = docs.combine_chunks()
+    known = {}
+    for lang in pc.unique(values["lang"]).to_pylist():
+        own = values.filter(pc.equal(values["lang"], lang))
+        gram, v = own["g"].to_numpy(), own["v"].to_numpy()
+        order = np.argsort(gram)
+        known[lang] = gram[order], v[order]
+    langs = np.array(docs["lang"].to_pylist(), object)
+    count, value = np.zeros(len(langs), np.int64), np.full(len(langs), np.nan)
+    for chunk in chunks(docs["text"].combine_chunks()):
+        code, bounds = _grams(chunk)
+        of, n = langs[chunk.rows], np.diff(bounds)
+        total = np.full(len(n), np.nan)
+        for lang in set(of.tolist()) & known.keys():
+            which = np.flatnonzero((of == lang) & (n > 0))
+            if len(which):
+                gram, v = known[lang]
+                own = code[np.repeat(of == lang, n)].astype(np.int64)
+                at = np.minimum(np.searchsorted(gram, own), len(gram) - 1)
+                if (gram[at] != own).any():
+                    raise RuntimeError("a block has other texts than when its grams were listed: store the documents first")
+                total[which] = np.add.reduceat(v[at], np.concatenate([[0], np.cumsum(n[which])[:-1]]))
+        count[chunk.rows] = n
+        with np.errstate(invalid="ignore", divide="ignore"):
+            value[chunk.rows] = np.exp(-total / n)
+    return pa.table({"doc_id": docs["doc_id"], "lang": docs["lang"], "n_grams": count, "perplexity": pa.array(value, mask=np.isnan(value))})
 
 
 def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, guard: int = GUARD) -> DataFrame:
@@ -226,14 +228,22 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE
     every other value. perplexity is null for texts too short for a gram and for languages without trusted text; such
     documents, and those with fewer grams than ``guard``, are kept. The threshold is ``slack`` times the exact quantile
     over the language's trusted documents that reach the guard. Null text counts as empty; rows with a null doc_id
-    are never trusted; repeated rows are rows of their own; more columns are ignored.
+    are never trusted; repeated rows are rows of their own; more columns are ignored. ``docs`` is read three times and has
+    to give the same rows in the same order, as scans do; a run where it doesn't may end with an error.
     """
     ids = stored(trusted_ids.select(F.col("doc_id").alias("_id")).where("_id is not null").distinct())
     rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), "doc_id", F.coalesce("lang", F.lit("")).alias("lang"))
     trusted = rows.join(small_or_shuffled(ids, ids.count()), rows["doc_id"] == ids["_id"], "left_semi")
-    learned = docs.sparkSession.sparkContext.broadcast(train(trusted.select("lang", "text")))
+    grams, contexts, temporary = train(trusted.select("lang", "text"))
+    # a row per language: those without trusted text have no probabilities
+    listed = stored(rows.mapInArrow(_block_grams, "block long, lang string, g long").join(F.broadcast(contexts[0].select("lang")), "lang", "left_semi").select("block", "lang", "g"))
+    wanted = stored(listed.select("lang", "g").distinct())
+    values = listed.join(log_probabilities(wanted, grams, contexts), ["lang", "g"]).select("block", "lang", "g", "v")
     kind = dict(rows.dtypes)["doc_id"]
-    scored = stored(rows.mapInArrow(_scored(learned), f"doc_id {kind}, lang string, n_grams long, perplexity double"))
+    blocks = rows.mapInArrow(_blocks, f"block long, text string, doc_id {kind}, lang string")
+    scored = stored(blocks.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(_scored, f"doc_id {kind}, lang string, n_grams long, perplexity double"))
+    for table in [*temporary, listed, wanted]:
+        drop_stored(table)
     known = scored.where((F.col("n_grams") >= guard) & F.col("perplexity").isNotNull()).join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
     limit = known.groupBy("lang").agg((F.percentile("perplexity", F.lit(quantile)) * slack).alias("threshold"))
     out = scored.join(F.broadcast(limit), "lang", "left")  # a row per language
