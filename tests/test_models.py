@@ -119,3 +119,12 @@ def test_sources(spark, tmp_path):
         write_tables({"t": got}, f"{tmp_path}/{kind}", kind)
         back = read_tables(spark, f"{tmp_path}/{kind}", {"t": "smin int, auc double, subject string"}, kind)["t"]
         assert sorted(map(tuple, back.collect())) == sorted(map(tuple, got.collect()))
+
+
+def test_key_report_is_of_all_rows(spark):
+    from trialgrid.plans.registry import QUERIES
+    from trialgrid.sources.tables import predictions
+
+    data = "/root/testdata/sf0.001"
+    counts = {(r.word, r.fold): r["count"] for r in predictions(spark, data).groupBy("word", "fold").count().collect()}
+    assert {(r.word, r.fold): r.n_rows for r in QUERIES["repeated_keys_of_all"](spark, data).collect()} == {k: n for k, n in counts.items() if n > 1}

@@ -433,6 +433,11 @@ def repeated_keys(spark, d):
     return rel.unique_key_report(predictions(spark, d).where("site % 10 = 1"), ["word", "fold"])
 
 
+@query("SELECT word, fold, count(*) AS n_rows FROM v_predictions GROUP BY word, fold HAVING count(*) > 1")
+def repeated_keys_of_all(spark, d):
+    return rel.unique_key_report(predictions(spark, d), ["word", "fold"])
+
+
 @query("""SELECT rule, n_broken, n_broken = 0 AS passed FROM (SELECT 'step_range' AS rule, count(*) FILTER (WHERE step NOT BETWEEN 1 AND 6) AS n_broken FROM v_trials UNION ALL SELECT 'slider_range', count(*) FILTER (WHERE slider NOT BETWEEN 1 AND 10) FROM v_trials
   UNION ALL SELECT 'binary_response', count(*) FILTER (WHERE response NOT IN (0, 1)) FROM v_trials UNION ALL SELECT 'small_value', count(*) FILTER (WHERE NOT coalesce(value < 50, false)) FROM v_trials)""")
 def quality_rules(spark, d):
