@@ -128,3 +128,16 @@ def test_key_report_is_of_all_rows(spark):
     data = "/root/testdata/sf0.001"
     counts = {(r.word, r.fold): r["count"] for r in predictions(spark, data).groupBy("word", "fold").count().collect()}
     assert {(r.word, r.fold): r.n_rows for r in QUERIES["repeated_keys_of_all"](spark, data).collect()} == {k: n for k, n in counts.items() if n > 1}
+
+
+def test_permutations_at_peak_windows(spark):
+    from trialgrid.plans.registry import QUERIES
+
+    data = "/root/testdata/sf0.001"
+    true, got = QUERIES["decoding_searchlight"](spark, data).toPandas(), QUERIES["permuted_decoding"](spark, data).toPandas()
+    fold = true.groupby(["channel", "smin", "fold"]).apply(lambda g: decoders._auc(g["y"].to_numpy(), g["proba"].to_numpy()), include_groups=False)
+    peak = fold.groupby(level=[0, 1]).mean().groupby(level=0).idxmax().tolist()
+    assert sorted(set(zip(got["channel"], got["smin"]))) == sorted(peak)
+    assert (got.groupby("channel")["permutation"].nunique() == 20).all()
+    chosen = true.groupby(["channel", "smin", "fold"])["c"].first()
+    assert all(chosen[k] == c for *k, c in got[["channel", "smin", "fold", "c"]].drop_duplicates().itertuples(index=False, name=None) for k in [tuple(k)])

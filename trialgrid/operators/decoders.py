@@ -70,10 +70,10 @@ def _auc(y: np.ndarray, p: np.ndarray) -> float:
     return (ranks[y == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * n0) if n1 and n0 else np.nan
 
 
-def cross_validated(rows: DataFrame, group: list[str], id_: str, grid: tuple[float, ...] = (0.01, 1.0), kept: float | None = 0.95) -> DataFrame:
+def cross_validated(rows: DataFrame, group: list[str], id_: str, grid: tuple[float, ...] = (0.01, 1.0), kept: float | None = 0.95, given: str | None = None) -> DataFrame:
     """Held-out probabilities of each trial: group, id, fold, y, proba, c. C is chosen by an inner split of the training folds.
 
-    A fold whose training part has one class gives no rows.
+    A fold whose training part has one class gives no rows. ``given``: a column with the C of each fold; where it is null, C is chosen.
     """
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
@@ -84,8 +84,9 @@ def cross_validated(rows: DataFrame, group: list[str], id_: str, grid: tuple[flo
             if len(np.unique(y[train])) < 2:
                 continue
             inner = train & (fold % 2 == (k + 1) % 2)
-            best, chosen = -np.inf, grid[0]
-            for c in grid:
+            own = part[given].to_numpy(float)[test][0] if given else np.nan
+            best, chosen = -np.inf, grid[0] if np.isnan(own) else own
+            for c in grid if np.isnan(own) else ():
                 rest = train & ~inner
                 if len(np.unique(y[rest])) == 2 and len(np.unique(y[inner])) == 2:
                     score = _auc(y[inner], scored(fit_pipeline(x[rest], y[rest], c, kept), x[inner]))
@@ -97,7 +98,7 @@ def cross_validated(rows: DataFrame, group: list[str], id_: str, grid: tuple[flo
 
     kinds = dict(rows.dtypes)
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in [*group, id_, "fold", "y"]], "proba double", "c double"])
-    return rows.select(*group, id_, "fold", "y", "x").groupBy(*group).applyInPandas(fit, schema)
+    return rows.select(*group, id_, "fold", "y", "x", *([given] if given else [])).groupBy(*group).applyInPandas(fit, schema)
 
 
 def fitted_models(rows: DataFrame, group: list[str], c: float = 1.0, kept: float | None = 0.95) -> DataFrame:

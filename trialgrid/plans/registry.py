@@ -523,8 +523,12 @@ def window_transfer(spark, d):
 
 @query()
 def permuted_decoding(spark, d):
-    rows = _windows(spark, d).where("smin = 0")
-    return decoders.cross_validated(decoders.permuted(rows, ["channel", "smin"], "epoch", 3), ["channel", "smin", "permutation"], "epoch", (1.0,))
+    rows = _windows(spark, d)
+    true = decoders.cross_validated(rows, ["channel", "smin"], "epoch")
+    peaks = auc.peak_windows(true.select(F.col("channel").alias("site"), "smin", "fold", F.col("y").alias("target"), "proba")).select(F.col("site").alias("channel"), "smin")
+    fits = true.select("channel", "smin", "fold", "c").distinct()
+    at_peaks = rows.join(peaks, ["channel", "smin"], "left_semi").join(fits, ["channel", "smin", "fold"], "left")
+    return decoders.cross_validated(decoders.permuted(at_peaks, ["channel", "smin"], "epoch", 20), ["channel", "smin", "permutation"], "epoch", given="c")
 
 
 @query()
