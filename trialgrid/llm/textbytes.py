@@ -5,6 +5,7 @@ A chunk joins some whole texts with a newline after each. A text longer than the
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,10 +20,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BEGINS = (np.arange(256) & 0xC0) != 0x80
 
-_MULTIPLIER = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
-_BYTE_VALUE = np.random.Generator(np.random.PCG64(20240917)).integers(1, 1 << 63, 256, dtype=np.uint64)
-_powers: dict[int, np.ndarray] = {}
+#: Spans over this many bytes are hashed one by one.
+LONG_SPAN = 256
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 @dataclass
@@ -59,27 +59,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, CHUNK_BYTES + 2), base, np.uint64)
-        steps[0] = 1
-        have = np.cumprod(steps, dtype=np.uint64)
-        if len(have) <= 4 * CHUNK_BYTES:  # those of a huge text aren't kept
-            _powers[base] = have
-    return have[:n]
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places starts[i] .. starts[i] + lengths[i] - 1, one span after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each span's bytes; equal bytes give equal hashes wherever they stand.
 
-    Polynomial in an odd multiplier over random byte values, from prefix sums; the span's place is divided out. Two
-    different spans agree with a chance of about 2 ** -64.
+    A chain over blocks of 8 bytes that mixes all bits after each, for long spans BLAKE2. Neither is linear in the bytes,
+    so no family of texts collides by its form; two given different spans agree with a chance of about 2 ** -64.
     """
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_VALUE[data] * _power(_MULTIPLIER, len(data)), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _power(_INVERSE, len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
+    n = (ends - starts).astype(np.int64)
+    out = mix(n.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15 ^ seed))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    blocks = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the 8 bytes from each place on
+    live = np.flatnonzero((n > 0) & (n <= LONG_SPAN))
+    at, left, own = starts[live], n[live], out[live]
+    while len(live):
+        own = mix(own ^ (blocks[at] & _LOW_BYTES[np.minimum(left, 8)]))
+        on = left > 8
+        out[live[~on]] = own[~on]
+        live, at, left, own = live[on], at[on] + 8, left[on] - 8, own[on]
+    for i in np.flatnonzero(n > LONG_SPAN).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+    return out
 
 
 def word_spans(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
