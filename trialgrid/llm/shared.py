@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words everywhere in this subpackage: runs of anything but space and the five ASCII controls 9 to 13.
@@ -20,10 +21,13 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where that is unset a folder of our own if all runs on
+    one machine, as in tests, else one in the warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/trialgrid"
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="spark-"))
     return _own_dir[0]
@@ -41,8 +45,23 @@ def stored(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return out
 
 
+def stored_sorted(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """As ``stored``, dealt into ``buckets`` by the hash of ``key`` and sorted by it: joins of two such tables on ``key``
+    move no rows. Spark keeps buckets in its catalog only, so this is an external table there until ``drop_stored``."""
+    spark = df.sparkSession
+    name = f"trialgrid_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    df.write.mode("overwrite").option("compression", "zstd").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    _written.append((spark, path))
+    out = spark.table(name)
+    out._stored_at, out._stored_as = path, name
+    return out
+
+
 def drop_stored(df: DataFrame) -> None:
-    """Delete a table of ``stored`` that nothing reads any more."""
+    """Delete a table of ``stored`` or ``stored_sorted`` that nothing reads any more."""
+    if name := getattr(df, "_stored_as", None):
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
     path = getattr(df, "_stored_at", None)
     if path:
         _delete(df.sparkSession, path)
@@ -92,3 +111,22 @@ def unit(key: Column) -> Column:
 def bucket_count(rows: int, target: int = 512, most: int = 1 << 20) -> int:
     """Buckets to cut ``rows`` ordered rows into: ``target`` rows each, and more where a million buckets don't suffice."""
     return max(1, min(most, -(-rows // target)))
+
+
+def exact_quantile(rows: DataFrame, group: str, value: str, q: float) -> DataFrame:
+    """``group``, ``quantile``: the interpolated quantile of a positive ``value``, as ``percentile`` gives it, without a
+    group's values in one task: equal values are counted first, then bins of the value's logarithm; only the bins that
+    hold the two ranks around the quantile are ordered, each by itself. One row per group, whose groups must be few."""
+    counts = stored(rows.groupBy(group, F.col(value).alias("_v")).agg(F.count("*").alias("_n")).withColumn("_bin", F.floor(F.log2("_v") * 4096)))
+    bins = counts.groupBy(group, "_bin").agg(F.sum("_n").alias("_n"))
+    total = bins.groupBy(group).agg(F.sum("_n").alias("_all")).withColumn("_at", (F.col("_all") - 1) * F.lit(q))
+    run = Window.partitionBy(group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.withColumn("_before", F.coalesce(F.sum("_n").over(run), F.lit(0))).join(F.broadcast(total), group)
+    has = lambda rank: (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_n"))
+    low, high = F.floor("_at"), F.ceil("_at")
+    wanted = bins.where(has(low) | has(high)).select(group, "_bin", "_before", "_at")  # two rows a group at most
+    inside = Window.partitionBy(group, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    near = counts.join(F.broadcast(wanted), [group, "_bin"])
+    near = near.withColumn("_before", F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    share = F.col("_at") - low
+    return near.groupBy(group).agg((F.max(F.when(has(low), F.col("_v") * (1 - share))) + F.max(F.when(has(high), F.col("_v") * share))).alias("quantile"))
