@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialgrid.llm.shared import drop_stored, small_or_shuffled, stored
+from trialgrid.llm.shared import drop_stored, exact_quantile, small_or_shuffled, stored
 from trialgrid.llm.textbytes import Chunk, chunks
 
 #: Highest order; quantile of trusted perplexities and the slack on it; grams that a verdict needs.
@@ -245,7 +245,7 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE
     for table in [*temporary, listed, wanted]:
         drop_stored(table)
     known = scored.where((F.col("n_grams") >= guard) & F.col("perplexity").isNotNull()).join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
-    limit = known.groupBy("lang").agg((F.percentile("perplexity", F.lit(quantile)) * slack).alias("threshold"))
+    limit = exact_quantile(known, "lang", "perplexity", quantile).select("lang", (F.col("quantile") * slack).alias("threshold"))
     out = scored.join(F.broadcast(limit), "lang", "left")  # a row per language
     bad = (F.col("n_grams") >= guard) & (F.col("perplexity") > F.col("threshold"))
     return out.select("doc_id", "lang", "n_grams", "perplexity", "threshold", (~F.coalesce(bad, F.lit(False))).alias("kept"))
