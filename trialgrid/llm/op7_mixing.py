@@ -23,9 +23,12 @@ MOST_EPOCHS = 3
 
 
 def quality_weight(text: Column, size: Column) -> Column:
-    """A document's weight in the draw: 1 for prose-like mean word length (3 to 12 bytes) and 20 words or more, else 0.25."""
-    mean = F.octet_length(text) / F.greatest(size, F.lit(1))
-    return F.when((size >= 20) & mean.between(3.0, 12.0), 1.0).otherwise(0.25)
+    """A document's weight in the draw, from 0.05 to 1: lower with few words, with a mean word length far from that of
+    prose, and with a large share of digits and symbols."""
+    length = F.greatest(F.length(text), F.lit(1))
+    plain = F.length(F.translate(text, "0123456789#*$%&|<>", "")) / length
+    off = (length / F.greatest(size, F.lit(1)) - 6.5) / 4
+    return F.greatest(F.lit(0.05), F.least(F.lit(1.0), size / 50) * F.pow(plain, 4) * F.exp(-off * off))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
@@ -63,9 +66,10 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     rows = rows.withColumn("_q", F.coalesce("_q", quality_weight(F.col("_t"), F.col("size")))).drop("_t")
     u = unit(F.xxhash64(F.lit(seed), "doc_id", "_crc", "size"))
     rows = stored(rows.withColumn("_key", -F.ln(u) / F.col("_q")).drop("_q"))
-    n_buckets = bucket_count(rows.count())
-    # 1 - exp(-key) is monotone in the key and near uniform
-    rows = rows.withColumn("_b", F.least(F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * n_buckets).cast("int"), F.lit(n_buckets - 1)))
+    # steps of the key's logarithm: an exponential key of any rate has at most 0.26 of its mass in a doubling of the key,
+    # so no bucket is hot, whatever the weights
+    steps = bucket_count(rows.count(), 1024)
+    rows = rows.withColumn("_b", F.floor(F.log2(F.greatest("_key", F.lit(1e-300))) * steps))
     parts = rows.groupBy("_s", "_b").agg(F.sum("size").alias("_n"))
     targets = source_targets(parts.groupBy("_s").agg(F.sum("_n").alias("source_size")), weights, most)
     run = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
