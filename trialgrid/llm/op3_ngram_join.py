@@ -15,7 +15,7 @@ Candidates of small buckets are verified pair by pair. In a large bucket each se
 centre; sets that this leaves in different components are verified in blocks, all against all, without a row per pair.
 Verification counts equal shingles, so a link below the threshold can't pass.
 
-Shingles are 64-bit hashes; two different ones agree with a chance of about 2 ** -64.
+Shingles are 64-bit hashes; two given different ones agree with a chance of about 2 ** -64.
 """
 
 from __future__ import annotations
@@ -26,11 +26,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trialgrid.llm.components import components
-from trialgrid.llm.shared import drop_stored, partitions, small_or_shuffled, stored
+from trialgrid.llm.shared import drop_stored, free_name, partitions, small_or_shuffled, stored
 from trialgrid.llm.textbytes import chunks, mix, shingles
 
 #: Threshold 4 / 5, and the words of a shingle.
@@ -39,8 +39,10 @@ SHINGLE = 5
 BAND, SMALL_H = 1.5625, 20
 #: A bucket of more sets than this isn't expanded into pairs; sets, or tokens, of a block that is verified all against all.
 LARGE_BUCKET, BLOCK, BLOCK_TOKENS = 6, 384, 200_000
-#: Entries that a task packs before it sends them, and bits of a set's sketch at least.
-PACKED, SKETCH_BITS = 1 << 21, 512
+#: Entries that a task packs before it sends them, bits of a set's sketch at least, shingles of all sets for each part of
+#: the signatures at most (a set has about a third as many signatures as shingles).
+PACKED, SKETCH_BITS, PART_SHINGLES = 1 << 21, 512, 16 << 20
+
 
 @lru_cache(maxsize=None)
 def _band_edges(most: int) -> tuple[int, ...]:
@@ -337,7 +339,7 @@ def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def similar_components(docs: DataFrame) -> DataFrame:
-    """Component of each document under Jaccard >= 0.8 of 5-word shingle sets: doc_id, n_shingles, component_id.
+    """Component of each document under Jaccard >= 0.8 of 5-word shingle sets: doc_id, n_shingles, component_id, set_id.
 
     One row per row of ``docs``; copies share a set, which takes part once. Null text counts as empty; a document
     without words links with nothing (component: itself). Rows with a null doc_id are kept with a null component; a text
@@ -348,7 +350,10 @@ def similar_components(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     sets = stored(text.mapInArrow(_document_sets, "doc_id long, n_shingles long, set_id long, sketch array<long>"))
-    n_parts = partitions(spark)
+    shingles_ = sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    n_parts = max(partitions(spark), -(-shingles_ // PART_SHINGLES))
+    # one row a set with a document's id: copies are met here once, summed in each task first
+    every = stored(sets.where("doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n"), F.any_value("sketch").alias("sketch")))
     packed = text.select("text").mapInArrow(_packed_signatures(n_parts), "part int, sig binary, own binary, spare binary")
     found = stored(packed.repartition(n_parts, "part").mapInArrow(_buckets, _FOUND))
     pairs = found.where("kind = 0").select("a", "b")
@@ -363,8 +368,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
 
     # sizes and sketches alone rule most false pairs out before any set moves
     ends = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
-    known = sets.join(ends, "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n"), F.any_value("sketch").alias("sketch"))
-    known = stored(known.where("doc_id is not null"))
+    known = stored(every.join(ends, "set_id"))
     x, y = known.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), known.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     apart = F.aggregate(F.zip_with(_folded("sa", "sb"), _folded("sb", "sa"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, k: total + k)
     near = pairs.join(x, "a").join(y, "b").where("5 * least(na, nb) >= 4 * greatest(na, nb)").where(apart * 9 <= F.col("na") + F.col("nb"))
@@ -390,11 +394,12 @@ def similar_components(docs: DataFrame) -> DataFrame:
         links = links.union(stored(_verified_blocks(rest_sets, tokens)))
         group = components(group.toDF("a", "b").union(links))
 
-    root = sets.drop("sketch").join(group.toDF("set_id", "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    least = root.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = root.join(least, "root", "left")
+    root = every.select("set_id", "doc_id", "n").join(group.toDF("set_id", "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    least = root.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
+    least = stored(root.join(least, "root").select("set_id", "least"))
+    out = sets.drop("sketch").join(least, "set_id", "left")  # both sides stored: Spark may split a set with very many documents
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), "set_id")
 
 
 def _verified_blocks(members: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -415,11 +420,41 @@ def _verified_blocks(members: DataFrame, tokens: DataFrame) -> DataFrame:
     return meet.repartition(partitions(members.sparkSession), "cluster", "kx", "ky").join(x, ["cluster", "kx"]).join(y, ["cluster", "ky"]).select("x", "y").mapInArrow(_block_links, "a long, b long")
 
 
+def _with_set_id(schema_names: list[str], name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in chunks(batch.column("text")):
+                ids = _set_ids(*shingles(chunk, SHINGLE))
+                yield pa.RecordBatch.from_arrays([*[c[chunk.rows] for c in batch.columns], pa.array(ids)], names=[*schema_names, name])
+
+    return run
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents with the smallest doc_id of each component, with all their columns; rows without a doc_id stay."""
-    gone = stored(similar_components(docs).where("doc_id != component_id").select("doc_id").distinct())
-    return docs.join(small_or_shuffled(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
+    """The documents with the smallest doc_id of each component, with all their columns; rows without a doc_id stay.
+
+    A row goes if its own set's component has a smaller doc_id; of rows with one doc_id and one component, that with the
+    least set stays, once.
+    """
+    found = stored(similar_components(docs).where("doc_id is not null and n_shingles > 0"))
+    gone = found.where("doc_id != component_id").select("doc_id", "set_id").distinct()
+    if not found.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        gone = stored(gone.select("doc_id"))  # a doc_id is one row: its set needn't be found again
+        return docs.join(small_or_shuffled(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
+    set_id, rank = free_name(docs, "set_id", "rank")
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema], f"`{set_id}` long"])
+    rows = docs.mapInArrow(_with_set_id(docs.columns, set_id), schema)
+    gone = stored(gone.toDF("doc_id", set_id))
+    rows = rows.join(small_or_shuffled(gone, gone.count()), ["doc_id", set_id], "left_anti")
+    # of equal doc_ids in one component only the least set stays, and of its rows one
+    mine = found.where("doc_id = component_id").groupBy("doc_id", "component_id").agg(F.min("set_id").alias("least")).select("doc_id", "least")
+    rows = rows.join(mine, "doc_id", "left")
+    keep = F.col("doc_id").isNull() | F.col("least").isNull() | (F.col("least") == F.col(set_id))
+    rows = rows.where(keep)
+    one = Window.partitionBy("doc_id", set_id).orderBy(F.xxhash64(*[c for c in docs.columns if c != "doc_id"]))
+    alone = rows.where(F.col("doc_id").isNotNull()).withColumn(rank, F.row_number().over(one)).where((F.col(rank) == 1) | F.col("least").isNull())
+    return alone.select(*docs.columns).union(rows.where("doc_id is null").select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return similar_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("set_id")
