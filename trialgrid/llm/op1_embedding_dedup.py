@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 
 from trialgrid.llm.components import components
 from trialgrid.llm.shared import stored
-from trialgrid.llm.textbytes import mix
+from trialgrid.llm.textbytes import cells, mix
 
 THRESHOLD = 0.93
 #: Bound in standard deviations, rotations an estimate uses, chance to miss a pair at the threshold, vectors of a bucket (aim, and most before it is cut).
-SIGMAS, ESTIMATORS, MISS, AIM, BLOCK = 5.0, 4, 1e-7, 64, 2048
+SIGMAS, ESTIMATORS, MISS, AIM, BLOCK = 5.0, 4, 1e-7, 256, 2048
 
 
 @lru_cache(maxsize=256)
@@ -50,38 +50,53 @@ def table_shape(n: int, threshold: float) -> tuple[int, int]:
 
 def _coded(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of tables: bucket, table, uid, keys (of all tables), signs, factors and the vector in 8 bits."""
+        """Rows of tables: bucket, table, uid, signs (of all rotations), factors and the vector in 8 bits."""
         for batch in batches:
             shape = np.array([batch.column("d").to_numpy(), batch.column("n").to_numpy()])
             flat, ends = batch.column("embedding").values.to_numpy(zero_copy_only=False), np.cumsum(shape[0])
             skip = batch.column("embedding").offsets[0].as_py()
             for d, n in np.unique(shape, axis=1).T.tolist():
                 at = np.flatnonzero((shape[0] == d) & (shape[1] == n))
-                x = flat[skip + (ends[at] - d)[:, None] + np.arange(d)].astype(np.float64)
-                x /= np.linalg.norm(x, axis=1)[:, None]
+                x = _unit(flat[skip + (ends[at] - d)[:, None] + np.arange(d)].astype(np.float64))
                 bits, tables = table_shape(n, threshold)
                 n_rot = max(-(-bits * tables // d), ESTIMATORS)
                 turned = [x @ rotation(r, d).T for r in range(n_rot)]
                 sign = np.concatenate(turned, 1) >= 0
                 factor = np.stack([np.abs(t).sum(1) / np.sqrt(d) for t in turned[:ESTIMATORS]], 1).astype(np.float32)
-                codes = np.packbits(sign[:, : ESTIMATORS * d], axis=1)
-                keys = np.zeros((len(at), tables), np.uint32)
-                for b in range(bits):
-                    keys |= sign[:, b : bits * tables : bits].astype(np.uint32) << np.uint32(b)
+                keys = _table_keys(sign, bits, tables)
                 step = np.abs(x).max(1) / 127
                 small = np.rint(x / step[:, None]).astype(np.int8)
                 label = batch.column("label_hash").to_numpy()[at].view(np.uint64)
                 uid = batch.column("uid").take(pa.array(at))
-                binary = lambda a: pa.array([row.tobytes() for row in a], pa.binary())
-                fixed = [uid, binary(keys), binary(codes), binary(factor), binary(small), pa.array(step.astype(np.float32)), pa.array(np.full(len(at), d, np.int32))]
+                fixed = [uid, _binary(np.packbits(sign, axis=1)), _binary(factor), _binary(small), pa.array(step.astype(np.float32)), pa.array(np.full(len(at), d, np.int32)), pa.array(np.full(len(at), bits, np.int32))]
                 for t in range(tables):
                     bucket = mix(mix(label + np.uint64(d)) + (np.uint64(t) << np.uint64(32)) + keys[:, t])
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(np.full(len(at), t, np.int32)), *fixed], names=["bucket", "t", "uid", "keys", "codes", "factor", "small", "step", "d"])
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(np.full(len(at), t, np.int32)), *fixed], names=["bucket", "t", "uid", "codes", "factor", "small", "step", "d", "bits"])
 
     return run
 
 
-_CODED = "bucket long, t int, uid long, keys binary, codes binary, factor binary, small binary, step float, d int"
+_CODED = "bucket long, t int, uid long, codes binary, factor binary, small binary, step float, d int, bits int"
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows over their length; scaled first, as squares of very large or small components leave the range of a double."""
+    x = x / np.abs(x).max(1)[:, None]
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def _table_keys(sign: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """A number for each row and table, of the table's own ``bits`` signs."""
+    keys = np.zeros((len(sign), tables), np.uint32)
+    for b in range(bits):
+        keys |= sign[:, b : bits * tables : bits].astype(np.uint32) << np.uint32(b)
+    return keys
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Each row's bytes."""
+    size = rows.shape[1] * rows.dtype.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(0, size * len(rows) + 1, max(size, 1), dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -112,7 +127,11 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
 
 
 def _rows(column: pa.ChunkedArray, dtype: type) -> np.ndarray:
-    return np.stack([np.frombuffer(x, dtype) for x in column.to_pylist()])
+    parts = []
+    for chunk in column.chunks:
+        data, offsets = cells(chunk)
+        parts.append(data[offsets[0] : offsets[-1]].reshape(len(chunk), -1))
+    return np.ascontiguousarray(np.concatenate(parts)).view(dtype)
 
 
 def _partners(threshold: float):
@@ -124,7 +143,8 @@ def _partners(threshold: float):
                 continue
             d, t = group.column("d")[0].as_py(), group.column("t")[0].as_py()
             uid, block = group.column("uid").to_numpy(), group.column("block").to_numpy()
-            sign = np.unpackbits(_rows(group.column("codes"), np.uint8), axis=1)[:, : ESTIMATORS * d].reshape(n, ESTIMATORS, d).astype(np.float32) * 2 - 1
+            signs = np.unpackbits(_rows(group.column("codes"), np.uint8), axis=1)
+            sign = signs[:, : ESTIMATORS * d].reshape(n, ESTIMATORS, d).astype(np.float32) * 2 - 1
             factor = _rows(group.column("factor"), np.float32)
             step = group.column("step").to_numpy()
             x = _rows(group.column("small"), np.int8).astype(np.float32) * step[:, None]
@@ -138,7 +158,7 @@ def _partners(threshold: float):
             may &= np.triu(np.ones((n, n), bool), 1) if block[0] == block[-1] and (block == block[0]).all() else (block[:, None] < block[None, :])
             i, j = np.nonzero(may)
             if t and len(i):
-                keys = _rows(group.column("keys"), np.uint32)[:, :t]
+                keys = _table_keys(signs.astype(bool), group.column("bits")[0].as_py(), t)
                 first = np.concatenate([~(keys[i[a : a + 65536]] == keys[j[a : a + 65536]]).any(1) for a in range(0, len(i), 65536)])
                 i, j = i[first], j[first]
             if len(i):
@@ -156,8 +176,7 @@ def _exact(threshold: float):
         """Exact cosines of the partners in each group: for each vector the vectors it links with, and one link of a forest."""
         for group in whole_groups(batches, ["bucket"]):
             place, uid, copies = (group.column(c).to_numpy() for c in ("place", "uid", "copies"))
-            x = np.stack([np.asarray(v, np.float64) for v in group.column("embedding").to_pylist()])
-            x /= np.linalg.norm(x, axis=1)[:, None]
+            x = _unit(np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in group.column("embedding").chunks]).astype(np.float64).reshape(group.num_rows, -1))
             partners = [np.frombuffer(b, np.int32) for b in group.column("partners").to_pylist()]
             i = np.repeat(np.arange(len(place)), [len(p) for p in partners])
             j = np.searchsorted(place, np.concatenate(partners))
@@ -193,7 +212,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     own = rows.where("uid is not null").groupBy("uid", "label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
     own = stored(own.withColumn("d", F.size("embedding")).withColumn("label_hash", F.xxhash64("label")))
     sizes = own.groupBy("label_hash", "d").agg(F.count("*").alias("n"))
-    coded = own.join(sizes, ["label_hash", "d"]).select("uid", "embedding", "d", "n", "label_hash").mapInArrow(_coded(threshold), _CODED)
+    coded = own.join(sizes, ["label_hash", "d"]).select("uid", "embedding", "d", "n", "label_hash")
+    coded = coded.mapInArrow(_coded(threshold), _CODED)
     large = stored(coded.select("bucket").groupBy("bucket").agg(F.count("*").alias("k")).where(F.col("k") > BLOCK))
     cut = coded.withColumn("blocks", F.lit(1))
     if large.limit(1).count():
