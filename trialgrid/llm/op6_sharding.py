@@ -17,10 +17,10 @@ from trialgrid.llm.shared import bucket_count, free_name, partitions, stored, un
 
 
 def _first_ranks(counts: DataFrame, group: list[str]) -> DataFrame:
-    """For each group's buckets: how many rows the earlier buckets hold. ``counts``: group columns, _b, _n."""
+    """For each group's buckets: how many rows the earlier buckets hold. ``counts``: group columns, _wb, _wn."""
     run = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    run = run.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("_before", F.coalesce(F.sum("_n").over(run), F.lit(0)))
+    run = run.orderBy("_wb").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("_wbefore", F.coalesce(F.sum("_wn").over(run), F.lit(0)))
 
 
 def interleave(df: DataFrame, source: str, tie: list[Column], n_shards: int, seed: int = 17) -> DataFrame:
@@ -32,24 +32,24 @@ def interleave(df: DataFrame, source: str, tie: list[Column], n_shards: int, see
     """
     total = df.count()
     n_buckets = bucket_count(total)
-    rows = df.withColumn("_wh", F.xxhash64(F.lit(seed), *tie)).withColumn("_b", F.floor(unit(F.col("_wh")) * n_buckets).cast("int"))
+    rows = df.withColumn("_wh", F.xxhash64(F.lit(seed), *tie)).withColumn("_wb", F.floor(unit(F.col("_wh")) * n_buckets).cast("int"))
     # a null source as a struct key, so that joins and windows treat it like any other
     rows = rows.withColumn("_ws", F.struct(F.col(source).isNull().alias("z"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("s")))
-    counts = rows.groupBy("_ws", "_b").agg(F.count("*").alias("_n"))
-    firsts = _first_ranks(counts, ["_ws"]).join(counts.groupBy("_ws").agg(F.sum("_n").alias("_total")), "_ws").select("_ws", "_b", "_before", "_total")
-    inside = Window.partitionBy("_ws", "_b").orderBy("_wh", *tie)
-    ranked = rows.withColumn("_r", F.row_number().over(inside)).join(firsts, ["_ws", "_b"])
-    # the middle of the row's own 1/n of the source, in (0, 1)
-    ranked = ranked.withColumn("_f", (F.col("_before") + F.col("_r") - F.lit(0.5)) / F.col("_total"))
-    ranked = stored(ranked.withColumn("_b", F.least(F.floor(F.col("_f") * n_buckets).cast("int"), F.lit(n_buckets - 1))).drop("_before", "_r", "_total"))
-    firsts = _first_ranks(ranked.groupBy("_b").agg(F.count("*").alias("_n")), []).select("_b", "_before")
-    inside = Window.partitionBy("_b").orderBy("_f", "_ws", "_wh", *tie)
-    at = ranked.withColumn("_r", F.row_number().over(inside)).join(firsts, "_b").withColumn("_p", F.col("_before") + F.col("_r") - 1)
+    counts = rows.groupBy("_ws", "_wb").agg(F.count("*").alias("_wn"))
+    firsts = _first_ranks(counts, ["_ws"]).join(counts.groupBy("_ws").agg(F.sum("_wn").alias("_wtotal")), "_ws").select("_ws", "_wb", "_wbefore", "_wtotal")
+    inside = Window.partitionBy("_ws", "_wb").orderBy("_wh", *tie)
+    ranked = rows.withColumn("_wr", F.row_number().over(inside)).join(firsts, ["_ws", "_wb"])
+    # a place in the row's own 1/n of the source, the same for all its rows, so that sources of one size don't fall together
+    ranked = ranked.withColumn("_wf", (F.col("_wbefore") + F.col("_wr") - unit(F.xxhash64(F.lit(seed), "_ws"))) / F.col("_wtotal"))
+    ranked = stored(ranked.withColumn("_wb", F.least(F.floor(F.col("_wf") * n_buckets).cast("int"), F.lit(n_buckets - 1))).drop("_wbefore", "_wr", "_wtotal"))
+    firsts = _first_ranks(ranked.groupBy("_wb").agg(F.count("*").alias("_wn")), []).select("_wb", "_wbefore")
+    inside = Window.partitionBy("_wb").orderBy("_wf", "_ws", "_wh", *tie)
+    at = ranked.withColumn("_wr", F.row_number().over(inside)).join(firsts, "_wb").withColumn("_wp", F.col("_wbefore") + F.col("_wr") - 1)
     # integer arithmetic: shard k begins at the least p with p * n_shards >= k * total
-    shard = F.expr(f"(_p * {n_shards}L) div {max(total, 1)}L")
+    shard = F.expr(f"(_wp * {n_shards}L) div {max(total, 1)}L")
     at = at.withColumn("shard", shard.cast("int"))
     begin = F.expr(f"(shard * {total}L + {n_shards - 1}L) div {n_shards}L")
-    return at.withColumn("slot", (F.col("_p") - begin).cast("long")).drop("_ws", "_b", "_wh", "_f", "_r", "_before", "_p")
+    return at.withColumn("slot", (F.col("_wp") - begin).cast("long")).drop("_ws", "_wb", "_wh", "_wf", "_wr", "_wbefore", "_wp")
 
 
 def assign_shards(docs: DataFrame, n_shards: int = 8, seed: int = 17) -> DataFrame:
