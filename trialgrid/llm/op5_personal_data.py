@@ -71,7 +71,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def _shape(word: str) -> str:
     """Character classes with run lengths: 555-5526 is d3-d4, Abc1 is Xxd1. Runs over 4 digits fall into two classes."""
     out, i = [], 0
-    while i < len(word) and i < 48:
+    while i < len(word):
         c, j = word[i], i + 1
         kind = "d" if c in "0123456789" else "X" if c.isupper() else "x" if c.isalpha() else c
         while j < len(word) and ("d" if word[j] in "0123456789" else "X" if word[j].isupper() else "x" if word[j].isalpha() else word[j]) == kind:
