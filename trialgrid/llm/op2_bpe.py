@@ -27,12 +27,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialgrid.llm.textbytes import BEGINS, Chunk, chunks, span_hashes, spread
+from trialgrid.llm.textbytes import BEGINS, Chunk, cells, chunks, span_hashes, spread
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Bytes of distinct words after which a task begins new numbers, words that a task puts together at once, bytes of a
 #: word that is merged with a heap, bytes of input that a task should have at least.
-MOST_BYTES, AT_ONCE, LONG_WORD, TASK_BYTES = 24 << 20, 1 << 18, 128, 64 << 20
+MOST_BYTES, AT_ONCE, LONG_WORD, TASK_BYTES = 24 << 20, 1 << 16, 128, 64 << 20
 #: Ids take so many bits; a rank above all ranks.
 ID_BITS, NO_RANK = 20, 1 << 20
 ID = 1 << ID_BITS
@@ -327,7 +327,7 @@ def _numbered(pattern: str | None, ranks: dict[bytes, int], unmerged: dict[bytes
         odd = {len(w) for w in unmerged}
         known = _Words(0)
         for batch in batches:
-            for chunk in chunks(batch.column("text"), lower=False):
+            for chunk in chunks(batch.column("text"), lower=False, most=1 << 19):
                 data = chunk.data
                 starts, ends = _public_words(chunk) if pattern is None else _matches(chunk, split)
                 long = np.flatnonzero(ends - starts > LONG_WORD)
@@ -360,8 +360,8 @@ def _numbered(pattern: str | None, ranks: dict[bytes, int], unmerged: dict[bytes
                 rows = len(chunk.starts)
                 words = pa.ListArray.from_arrays(pa.array([0] + [len(new)] * rows, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
                 cut = np.searchsorted(starts, np.append(chunk.starts, len(data)))
-                cells = [number[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([fresh] + [False] * (rows - 1)), words, pa.array(cells, pa.binary()), *[c[chunk.rows] for c in batch.columns[1:]]], names=["_fresh", "_words", "_numbers", *batch.schema.names[1:]])
+                own = [number[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([fresh] + [False] * (rows - 1)), words, pa.array(own, pa.binary()), *[c[chunk.rows] for c in batch.columns[1:]]], names=["_fresh", "_words", "_numbers", *batch.schema.names[1:]])
 
     return run
 
@@ -379,17 +379,15 @@ def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new_ids, new_bytes = part.column("_ids").flatten(), part.column("_bytes").flatten()
             if len(new_ids):
                 ids.add(new_ids.flatten().to_numpy(), pc.list_value_length(new_ids).to_numpy().astype(np.int64))
-                bounds = np.frombuffer(new_bytes.buffers()[1], np.int32)[new_bytes.offset : new_bytes.offset + len(new_bytes) + 1]
-                decoded.add(np.frombuffer(new_bytes.buffers()[2], np.uint8)[bounds[0] : bounds[-1]], np.diff(bounds).astype(np.int64))
-            cells = part.column("_numbers").to_pylist()
+                flat, bounds = cells(new_bytes)
+                decoded.add(flat[bounds[0] : bounds[-1]], np.diff(bounds))
+            flat, bounds = cells(part.column("_numbers"))
+            flat, bounds = flat[bounds[0] : bounds[-1]].view(np.int32), (bounds - bounds[0]) // 4
             at = 0
-            while at < len(cells):
-                to, n = at, 0
-                while to < len(cells) and (to == at or n + len(cells[to]) // 4 <= AT_ONCE):
-                    n += len(cells[to]) // 4
-                    to += 1
-                numbers = np.frombuffer(b"".join(cells[at:to]), np.int32).astype(np.int64)
-                last = np.cumsum([0, *[len(c) // 4 for c in cells[at:to]]])
+            while at < part.num_rows:
+                to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + AT_ONCE, "right")) - 1)
+                numbers = flat[bounds[at] : bounds[to]].astype(np.int64)
+                last = bounds[at : to + 1] - bounds[at]
                 (own, n_ids), (text, n_bytes) = ids.take(numbers), decoded.take(numbers)
                 edges = [np.concatenate([[0], np.cumsum(k)])[last].astype(np.int32) for k in (n_ids, n_bytes)]
                 tokens = pa.ListArray.from_arrays(pa.array(edges[0]), pa.array(own))

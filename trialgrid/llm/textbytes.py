@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 #: ASCII white space, A-Z lower-casing, and bytes that begin a code point.
 IS_SPACE = np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
@@ -33,19 +33,31 @@ class Chunk:
     ends: np.ndarray  # data[ends[i]] is the newline after text i
 
 
+def cells(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets (one more than rows) of a string or binary column, without copying. A null has no bytes."""
+    column = column.cast(pa.binary()) if pa.types.is_string(column.type) or pa.types.is_binary(column.type) else column.cast(pa.large_binary())
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, kind)
+    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), offsets.astype(np.int64)
+
+
 def chunks(texts: pa.Array, lower: bool = True, most: int = CHUNK_BYTES) -> Iterator[Chunk]:
     """Cut a batch's texts (null: empty) into chunks."""
-    raw = [x or b"" for x in texts.cast(pa.binary()).to_pylist()]
+    data, offsets = cells(texts.fill_null("") if texts.null_count else texts)
     at = 0
-    while at < len(raw):
-        to, n = at, 0
-        while to < len(raw) and (to == at or n + len(raw[to]) + 1 <= most):
-            n += len(raw[to]) + 1
-            to += 1
-        data = np.frombuffer(b"\n".join([*raw[at:to], b""]), np.uint8)
-        ends = np.cumsum([len(x) + 1 for x in raw[at:to]]) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        yield Chunk(slice(at, to), LOWER[data] if lower else data, starts, ends)
+    while at < len(texts):
+        # text i and its newline end at offsets[i + 1] + i + 1
+        to = max(at + 1, int(np.searchsorted(offsets[1:] + np.arange(1, len(offsets)), offsets[at] + at + most, "right")))
+        ends = offsets[at + 1 : to + 1] - offsets[at] + np.arange(to - at)
+        own = np.full(offsets[to] - offsets[at] + to - at, 10, np.uint8)
+        if to - at == 1:
+            own[:-1] = data[offsets[at] : offsets[to]]
+        else:
+            rest = np.ones(len(own), bool)
+            rest[ends] = False
+            own[rest] = data[offsets[at] : offsets[to]]
+        yield Chunk(slice(at, to), LOWER[own] if lower else own, np.concatenate([[0], ends[:-1] + 1]), ends)
         at = to
 
 
