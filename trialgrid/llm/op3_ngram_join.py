@@ -41,7 +41,7 @@ BAND, SMALL_H = 1.5625, 20
 LARGE_BUCKET, BLOCK, BLOCK_TOKENS = 6, 384, 200_000
 #: Entries that a task packs before it sends them, bits of a set's sketch at least, shingles of all sets for each part of
 #: the signatures at most (a set has about a third as many signatures as shingles).
-PACKED, SKETCH_BITS, PART_SHINGLES = 1 << 21, 512, 16 << 20
+PACKED, SKETCH_BITS, PART_SHINGLES = 1 << 19, 512, 16 << 20
 
 
 @lru_cache(maxsize=None)
