@@ -30,7 +30,7 @@ ORDER, QUANTILE, SLACK, GUARD = 4, 0.995, 1.3, 150
 #: Grams that a counting task holds before it sums them up.
 HELD = 1 << 23
 #: Bytes of text in a block that is scored at once.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[[9, 10, 11, 12, 13]] = 32
