@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import trialgrid.plans.composites  # noqa: F401
+import trialgrid.plans.derived  # noqa: F401
 from trialgrid.plans.registry import QUERIES, SQL
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")

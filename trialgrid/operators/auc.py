@@ -70,17 +70,22 @@ def compared_auc(pred: DataFrame) -> DataFrame:
     return full.join(base.drop("n", "n_pos"), key).select(*key, "full", "baseline", (F.col("full") - F.col("baseline")).alias("gain"))
 
 
-def later_peaks(peaks: DataFrame, compared: DataFrame) -> DataFrame:
-    """Of windows that start after a site's first peak, the one with the largest mean gain above 0, by word."""
+def later_peaks(peaks: DataFrame, compared: DataFrame, size: int = 15, ends: DataFrame | None = None, slack: int = 20) -> DataFrame:
+    """Of windows that start after a site's first peak has ended, the one with the largest mean gain above 0, by word.
+
+    A window has ``size`` samples. ``ends`` (word, end): a window must end at most ``slack`` samples after its word's end.
+    """
     gains = compared.groupBy("site", "word", "smin").agg(F.avg("gain").alias("gain"))
     first = peaks.select("site", F.col("smin").alias("first_smin"))
-    later = gains.join(first, "site").where("smin > first_smin and gain > 0")
+    later = gains.join(first, "site").where((F.col("smin") > F.col("first_smin") + size) & (F.col("gain") > 0))
+    if ends is not None:
+        later = later.join(ends, "word", "left").where(F.col("smin") + size <= F.col("end") + slack).drop("end")
     return best_row(later, ["site", "word"], [F.desc("gain"), F.col("smin")])
 
 
-def best_before(means: DataFrame) -> DataFrame:
-    """For each window of a site, the best mean score of the site's windows that end before it starts."""
-    before = Window.partitionBy("site").orderBy("smin").rowsBetween(Window.unboundedPreceding, -1)
+def best_before(means: DataFrame, size: int = 15) -> DataFrame:
+    """For each window of a site, the best mean score of the site's windows of ``size`` samples that end before it starts."""
+    before = Window.partitionBy("site").orderBy("smin").rangeBetween(Window.unboundedPreceding, -size - 1)
     return means.select("site", "smin", "mean_auc", F.max("mean_auc").over(before).alias("best_before"))
 
 

@@ -44,10 +44,10 @@ def paired(a: DataFrame, b: DataFrame, stratum: list[str], order_a: list[str], o
     return a.withColumn("place", place(order_a)).join(b.withColumn("place", place(order_b)), [*stratum, "place"])
 
 
-def ambiguous_steps(trials: DataFrame, least: int = 2) -> DataFrame:
-    """Steps other than 1 and 6 with both responses, the rarer one more than ``least`` times: subject, pair, steps."""
-    c = trials.where("step not in (1, 6)").groupBy("subject", "pair", "step").agg(F.count_if(F.col("response") == 1).alias("y"), F.count_if(F.col("response") == 0).alias("n"))
-    return c.where(F.least("y", "n") > least).groupBy("subject", "pair").agg(F.array_sort(F.collect_list("step")).alias("steps"))
+def ambiguous_steps(trials: DataFrame, least: int = 2, key: tuple[str, ...] = ("subject", "pair", "word")) -> DataFrame:
+    """Steps other than 1 and 6 with both responses, the rarer one more than ``least`` times: key, steps."""
+    c = trials.where("step not in (1, 6)").groupBy(*key, "step").agg(F.count_if(F.col("response") == 1).alias("y"), F.count_if(F.col("response") == 0).alias("n"))
+    return c.where(F.least("y", "n") > least).groupBy(*key).agg(F.array_sort(F.collect_list("step")).alias("steps"))
 
 
 def proportions(df: DataFrame, group: list[str], level: str) -> DataFrame:

@@ -86,7 +86,7 @@ def false_discovery(rows: DataFrame, p: str, key: list[str], alpha: float = 0.05
     ranked = rows.withColumn("_r", F.row_number().over(up)).withColumn("_m", F.count("*").over(Window.partitionBy(F.lit(0))))
     onward = Window.partitionBy(F.lit(0)).orderBy("_r").rowsBetween(0, Window.unboundedFollowing)
     q = F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_r")).over(onward))
-    return ranked.withColumn("q", q).withColumn("bonferroni", F.col(p) * F.col("_m")).withColumn("significant", F.col("q") <= alpha).drop("_r", "_m")
+    return ranked.withColumn("q", q).withColumn("bonferroni", F.col(p) * F.col("_m")).withColumn("significant", F.col("q") < alpha).drop("_r", "_m")
 
 
 def polarity(rows: DataFrame, value: str, cls: str, group: list[str]) -> DataFrame:

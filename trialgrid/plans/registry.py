@@ -79,15 +79,17 @@ def compared_auc(spark, d):
 
 
 @query(f"""SELECT site, word, smin, gain, first_smin FROM (SELECT g.*, p.smin AS first_smin, row_number() OVER (PARTITION BY g.site, g.word ORDER BY round(g.gain, 9) DESC, g.smin) AS k
-  FROM (SELECT site, word, smin, avg(gain) AS gain FROM ({GAINS}) GROUP BY site, word, smin) g JOIN ({PEAKS}) p ON g.site = p.site AND g.smin > p.smin WHERE g.gain > 0) WHERE k = 1""", ("gain",))
+  FROM (SELECT site, word, smin, avg(gain) AS gain FROM ({GAINS}) GROUP BY site, word, smin) g JOIN ({PEAKS}) p ON g.site = p.site AND g.smin > p.smin + 1
+  JOIN (SELECT word, max(smin) - 21 + (word = 'O')::INT AS "end" FROM v_predictions GROUP BY word) e ON g.word = e.word AND g.smin + 1 <= e."end" + 20 WHERE g.gain > 0) WHERE k = 1""", ("gain",))
 def later_peaks(spark, d):
     p = predictions(spark, d)
-    return auc.later_peaks(auc.peak_windows(p), auc.compared_auc(p))
+    ends = p.groupBy("word").agg((F.max("smin") - 21 + F.first(F.col("word") == "O").cast("int")).alias("end"))
+    return auc.later_peaks(auc.peak_windows(p), auc.compared_auc(p), size=1, ends=ends)
 
 
-@query(f"SELECT a.site, a.smin, a.mean_auc, max(b.mean_auc) AS best_before FROM ({MEANS}) a LEFT JOIN ({MEANS}) b ON a.site = b.site AND b.smin < a.smin GROUP BY a.site, a.smin, a.mean_auc", ("mean_auc", "best_before"))
+@query(f"SELECT a.site, a.smin, a.mean_auc, max(b.mean_auc) AS best_before FROM ({MEANS}) a LEFT JOIN ({MEANS}) b ON a.site = b.site AND b.smin + 1 < a.smin GROUP BY a.site, a.smin, a.mean_auc", ("mean_auc", "best_before"))
 def best_before(spark, d):
-    return auc.best_before(_means(spark, d))
+    return auc.best_before(_means(spark, d), size=1)
 
 
 @query(f"SELECT site, \"at\", smin, distance FROM (SELECT m.site, m.site % 7 + 0.5::DOUBLE AS \"at\", smin, abs(smin - (m.site % 7 + 0.5::DOUBLE)) AS distance, row_number() OVER (PARTITION BY m.site ORDER BY abs(smin - (m.site % 7 + 0.5::DOUBLE)), smin) AS k FROM ({MEANS}) m) WHERE k = 1", ("at", "distance"))
@@ -124,34 +126,46 @@ def trial_ensembles(spark, d):
 # trials
 
 
-FEATURES = """SELECT subject, epoch, step, pair, linear_cue, category_cue, lexical_cue, (2.5 - abs(step - 3.5)) / 2 AS ambiguity, CASE WHEN category_cue <> lexical_cue THEN 1 ELSE -1 END AS mismatch, linear_response,
-  (lexical_cue - linear_cue) / 2 AS belief_update, CASE WHEN slider IN (5, 6) THEN 0 ELSE sign(linear_response)::INT END AS dummy_response, sign(linear_response)::INT AS forced_response,
-  (step - lo) / nullif((hi - lo)::DOUBLE, 0) * (max(linear_response) OVER (PARTITION BY subject) - min(linear_response) OVER (PARTITION BY subject)) + min(linear_response) OVER (PARTITION BY subject) AS rescaled_step,
-  sign(linear_response)::INT = category_cue AS follows_acoustics, linear_cue * lexical_cue AS interaction
-  FROM (SELECT *, CASE WHEN linear_cue > 0 THEN 1 ELSE -1 END AS category_cue FROM (
-    SELECT t.*, s.lo, s.hi, (step - mid) / nullif((hi - lo)::DOUBLE, 0) * 2 AS linear_cue, 2 * lexical - 1 AS lexical_cue, (slider - 5.5) / 4.5 AS linear_response
-    FROM v_trials t JOIN (SELECT subject, min(step) AS lo, max(step) AS hi, avg(DISTINCT step) AS mid FROM v_trials GROUP BY subject) s USING (subject)))"""
-_FEATURE_COLUMNS = ["subject", "epoch", "step", "pair", "linear_cue", "category_cue", "lexical_cue", "ambiguity", "mismatch", "linear_response", "belief_update", "dummy_response", "forced_response", "rescaled_step", "follows_acoustics", "interaction"]
-
-
-@query(FEATURES, ("linear_cue", "ambiguity", "linear_response", "belief_update", "rescaled_step", "interaction"))
+_CUES = """SELECT *, CASE WHEN linear_cue > 0 THEN 1 ELSE -1 END AS category_cue FROM (
+    SELECT t.*, s.lo, s.hi, (step - mid) / nullif((hi - lo)::DOUBLE, 0) * 2 AS linear_cue, 2 * lexical - 1 AS lexical_cue, pair[1] AS a, pair[2] AS b,
+      CASE WHEN "left" <> pair[1] THEN -1 ELSE 1 END AS response_sign, CASE WHEN "left" <> pair[1] THEN -1 ELSE 1 END * (slider - 5.5) / 4.5 AS linear_response
+    FROM v_trials t JOIN (SELECT subject, min(step) AS lo, max(step) AS hi, avg(DISTINCT step) AS mid FROM v_trials GROUP BY subject) s USING (subject))"""
+_MARKS = f"""SELECT *, CASE WHEN category_cue <> lexical_cue THEN 1 ELSE -1 END AS mismatch, (lexical_cue - linear_cue) / 2 AS belief_update, trunc((lexical_cue - linear_cue) / 2 * 5)::INT AS belief_level,
+  CASE WHEN category_cue < 0 THEN a ELSE b END AS heard, CASE WHEN lexical_cue < 0 THEN a ELSE b END AS meant, sign(linear_response)::INT AS forced_response, CASE WHEN slider IN (5, 6) THEN 0 ELSE sign(linear_response)::INT END AS dummy_response,
+  -1 + (least(greatest(ceil((linear_response + 1) / (2.0 / 6) - 1e-9), 1), 6) - 0.5) * (2.0 / 6) AS response_bin,
+  (step - lo) / nullif((hi - lo)::DOUBLE, 0) * (max(linear_response) OVER (PARTITION BY subject) - min(linear_response) OVER (PARTITION BY subject)) + min(linear_response) OVER (PARTITION BY subject) AS rescaled_step FROM ({_CUES})"""
+FEATURES = f"""SELECT subject, epoch, step, pair, linear_cue, category_cue, lexical_cue, (2.5 - abs(step - 3.5)) / 2 AS ambiguity, mismatch, linear_response, belief_update, dummy_response, forced_response, rescaled_step,
+  forced_response = category_cue AS follows_acoustics, CASE WHEN mismatch = 1 THEN lexical_cue ELSE 0 END AS directed_mismatch, belief_level, response_sign,
+  CASE WHEN abs(belief_level) >= 4 THEN 5 WHEN abs(belief_level) >= 1 THEN 2 ELSE 0 END::DOUBLE * sign(belief_level) AS coarse_update,
+  CASE WHEN abs(belief_level) >= 4 THEN 5 * sign(belief_level) WHEN abs(belief_level) = 3 THEN 2 * sign(belief_level) END::DOUBLE AS coarse_mismatch,
+  pair || CASE WHEN mismatch = 1 THEN ' mismatch' ELSE ' match' END AS stratum, heard, meant, heard || '→' || meant AS inference, response_bin, (forced_response > 0)::INT AS forced_dummy,
+  linear_response - rescaled_step AS response_shift, response_bin - rescaled_step AS bin_shift, CASE dummy_response WHEN -1 THEN a WHEN 1 THEN b ELSE '~' END AS response_label, CASE forced_response WHEN -1 THEN a WHEN 1 THEN b END AS forced_label,
+  meant = heard AND meant <> CASE dummy_response WHEN -1 THEN a WHEN 1 THEN b ELSE '~' END AS ignores_both, 'L' || meant || 'B' || CASE dummy_response WHEN -1 THEN a WHEN 1 THEN b ELSE '~' END AS meant_answered,
+  'A' || heard AS heard_mark, 'B' || CASE dummy_response WHEN -1 THEN a WHEN 1 THEN b ELSE '~' END AS answer_mark, dummy_response * category_cue AS answer_by_acoustics, dummy_response * lexical_cue AS answer_by_lexical,
+  dummy_response * CASE WHEN mismatch = 1 THEN lexical_cue ELSE 0 END AS answer_by_mismatch FROM ({_MARKS})"""
+_FEATURE_COLUMNS = """subject epoch step pair linear_cue category_cue lexical_cue ambiguity mismatch linear_response belief_update dummy_response forced_response rescaled_step follows_acoustics directed_mismatch
+  belief_level response_sign coarse_update coarse_mismatch stratum heard meant inference response_bin forced_dummy response_shift bin_shift response_label forced_label ignores_both meant_answered heard_mark answer_mark
+  answer_by_acoustics answer_by_lexical answer_by_mismatch""".split()
+
+
+@query(FEATURES, ("linear_cue", "ambiguity", "linear_response", "belief_update", "rescaled_step", "coarse_update", "coarse_mismatch", "response_bin", "response_shift", "bin_shift"))
 def trial_features(spark, d):
     return ft.trial_features(trials(spark, d)).select(*_FEATURE_COLUMNS)
 
 
-@query(f"""SELECT subject, pair, min(CASE WHEN s <> p THEN place - 1 END)::INT AS crossing, sign(round(avg(m), 9))::INT AS side FROM (
-  SELECT *, row_number() OVER w AS place, sign(m) AS s, sign(lag(m) OVER w) AS p FROM (SELECT subject, pair, step, round(avg(linear_response), 9) AS m FROM ({FEATURES}) WHERE mismatch = -1 GROUP BY subject, pair, step) WINDOW w AS (PARTITION BY subject, pair ORDER BY step)) GROUP BY subject, pair""")
+@query(f"""SELECT subject, pair, min(CASE WHEN s <> p THEN place - 1 END)::INT AS crossing, CASE WHEN round(sum(t), 9) < 0 THEN -1 ELSE 1 END AS side FROM (
+  SELECT *, row_number() OVER w AS place, sign(m) AS s, sign(lag(m) OVER w) AS p FROM (SELECT subject, pair, step, sum(linear_response) AS t, round(avg(linear_response), 9) AS m FROM ({FEATURES}) WHERE mismatch = -1 GROUP BY subject, pair, step) WINDOW w AS (PARTITION BY subject, pair ORDER BY step)) GROUP BY subject, pair""")
 def zero_crossings(spark, d):
     return ft.zero_crossings(ft.trial_features(trials(spark, d)))
 
 
-@query("""SELECT epoch, linear_response, -1 + (least(greatest(ceil((linear_response + 1) / (2.0 / 6) - 1e-9), 1), 6) - 0.5) * (2.0 / 6) AS bin_centre, CASE WHEN dummy < 0 THEN 'first' WHEN dummy > 0 THEN 'second' ELSE '~' END AS label
-  FROM (SELECT epoch, (slider - 5.5) / 4.5 AS linear_response, CASE WHEN slider IN (5, 6) THEN 0 ELSE sign(slider - 5.5) END AS dummy FROM v_trials)""", ("linear_response", "bin_centre"))
+@query("""SELECT epoch, linear_response, -1 + (least(greatest(ceil((linear_response + 1) / (2.0 / 6) - 1e-9), 1), 6) - 0.5) * (2.0 / 6) AS bin_centre, CASE WHEN dummy < 0 THEN pair[1] WHEN dummy > 0 THEN pair[2] ELSE '~' END AS label
+  FROM (SELECT epoch, pair, s * (slider - 5.5) / 4.5 AS linear_response, CASE WHEN slider IN (5, 6) THEN 0 ELSE s * sign(slider - 5.5) END AS dummy FROM (SELECT *, CASE WHEN "left" <> pair[1] THEN -1 ELSE 1 END AS s FROM v_trials))""", ("linear_response", "bin_centre"))
 def response_bins(spark, d):
     return ft.trial_features(trials(spark, d)).select("epoch", "linear_response", F.col("response_bin").alias("bin_centre"), F.col("response_label").alias("label"))
 
 
-@query("SELECT subject, pair, list_sort(list(step)) AS steps FROM (SELECT subject, pair, step FROM v_trials WHERE step NOT IN (1, 6) GROUP BY subject, pair, step HAVING least(sum(response), sum(1 - response)) > 2) GROUP BY subject, pair")
+@query("SELECT subject, pair, word, list_sort(list(step)) AS steps FROM (SELECT subject, pair, word, step FROM v_trials WHERE step NOT IN (1, 6) GROUP BY subject, pair, word, step HAVING least(sum(response), sum(1 - response)) > 2) GROUP BY subject, pair, word")
 def ambiguous_steps(spark, d):
     return rel.ambiguous_steps(trials(spark, d))
 
@@ -244,7 +258,7 @@ def permutation_p(spark, d):
     return _permutation(spark, d)
 
 
-@query(f"SELECT site, gap, p, least(1.0, min(p * m / r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q, p * m AS bonferroni, least(1.0, min(p * m / r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) <= 0.05 AS significant FROM (SELECT *, row_number() OVER (ORDER BY p, site) AS r, count(*) OVER () AS m FROM ({_P}))", ("gap", "p", "q", "bonferroni"))
+@query(f"SELECT site, gap, p, least(1.0, min(p * m / r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q, p * m AS bonferroni, least(1.0, min(p * m / r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) < 0.05 AS significant FROM (SELECT *, row_number() OVER (ORDER BY p, site) AS r, count(*) OVER () AS m FROM ({_P}))", ("gap", "p", "q", "bonferroni"))
 def false_discovery(spark, d):
     return stats.false_discovery(_permutation(spark, d), "p", ["site"])
 

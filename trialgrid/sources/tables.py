@@ -53,13 +53,13 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trials: subject, electrode, epoch, step 1..6, response 0/1, slider 1..10, pair, lexical 0/1, value, ts."""
+    """Trials: subject, electrode, epoch, step 1..6, response 0/1, slider 1..10, pair, lexical 0/1, value, ts, word, left."""
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
     return table(spark, sf_dir, "events").select(
         (F.col("user_id") % 10).alias("subject"), F.col("user_id").alias("electrode"), F.col("event_id").alias("epoch"), (k % 6 + 1).alias("step"),
         F.col("event_type").isin("purchase", "click").cast("int").alias("response"), (F.lit(1) + F.least(F.floor(F.col("value") / 10), F.lit(9))).cast("double").alias("slider"),
-        F.element_at(F.array(F.lit("bm"), F.lit("dn"), F.lit("pb")), (F.length("event_type") % 3 + 1).cast("int")).alias("pair"), (k % 2).alias("lexical"), "value", "ts",
-    )
+        F.element_at(F.array(F.lit("bm"), F.lit("dn"), F.lit("pb")), (F.length("event_type") % 3 + 1).cast("int")).alias("pair"), (k % 2).alias("lexical"), "value", "ts", F.col("event_type").alias("word"),
+    ).withColumn("left", F.substring("pair", F.when(F.col("epoch") % 4 == 0, 2).otherwise(1), F.lit(1)))
 
 
 def epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,8 +71,8 @@ def epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_VIEWS = r"""
 v_predictions AS (SELECT l_suppkey AS site, l_linenumber AS smin, CAST(l_orderkey % 5 AS INT) AS fold, l_linestatus AS word, CAST(l_returnflag = 'R' AS INT) AS target, l_discount AS proba, l_tax AS baseline_proba, l_orderkey AS epoch FROM lineitem),
 v_events AS (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events),
-v_trials AS (SELECT user_id % 10 AS subject, user_id AS electrode, event_id AS epoch, k % 6 + 1 AS step, CAST(event_type IN ('purchase', 'click') AS INT) AS response,
-  CAST(1 + least(floor(value / 10), 9) AS DOUBLE) AS slider, ['bm', 'dn', 'pb'][length(event_type) % 3 + 1] AS pair, k % 2 AS lexical, value, ts FROM v_events),
+v_trials AS (SELECT *, substring(pair, CASE WHEN epoch % 4 = 0 THEN 2 ELSE 1 END, 1) AS "left" FROM (SELECT user_id % 10 AS subject, user_id AS electrode, event_id AS epoch, k % 6 + 1 AS step, CAST(event_type IN ('purchase', 'click') AS INT) AS response,
+  CAST(1 + least(floor(value / 10), 9) AS DOUBLE) AS slider, ['bm', 'dn', 'pb'][length(event_type) % 3 + 1] AS pair, k % 2 AS lexical, value, ts, event_type AS word FROM v_events)),
 v_epochs AS (SELECT vec_id AS epoch, CAST(label % 3 AS INT) AS channel, CAST(embedding AS DOUBLE[]) AS samples, CAST(label >= 5 AS INT) AS cls FROM embeddings),
 v_samples AS (SELECT epoch, channel, cls, unnest(samples) AS x, CAST(unnest(range(len(samples))) AS INT) AS pos FROM v_epochs)
 """
