@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+import trialgrid.plans.comparison  # noqa: F401
 import trialgrid.plans.composites  # noqa: F401
 import trialgrid.plans.derived  # noqa: F401
 from trialgrid.plans.registry import QUERIES, SQL

@@ -16,11 +16,11 @@ from trialgrid.operators.arrays import sliding_windows, window
 from trialgrid.operators.relational import hash_order
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, c: float, steps: int = 50) -> np.ndarray:
-    """Coefficients; y in {0, 1}, both present."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, c: float, steps: int = 50, start: np.ndarray | None = None) -> np.ndarray:
+    """Coefficients; y in {0, 1}, both present. ``start``: coefficients to begin from, such as those of a close C."""
     s, n = np.where(y == 1, 1.0, -1.0), len(y)
     weight = c * np.where(y == 1, n / (2 * (y == 1).sum()), n / (2 * (y == 0).sum()))
-    w = np.zeros(x.shape[1])
+    w = np.zeros(x.shape[1]) if start is None else start
     loss = lambda v: v @ v / 2 + weight @ np.logaddexp(0, -s * (x @ v))
     for _ in range(steps):
         p = 1 / (1 + np.exp(np.clip(s * (x @ w), -500, 500)))
@@ -64,6 +64,11 @@ def folds(rows: DataFrame, group: list[str], id_: str, n: int = 5, seed: int = 0
     return rows.withColumn("fold", (F.row_number().over(by) - 1) % n)
 
 
+def dealt(rows: DataFrame, group: list[str]) -> DataFrame:
+    """Groups dealt to all shuffle partitions: fits cost time by far more than bytes, so small partitions mustn't be merged."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *group)
+
+
 def _auc(y: np.ndarray, p: np.ndarray) -> float:
     n1, n0 = int((y == 1).sum()), int((y == 0).sum())
     ranks = pd.Series(p).rank().to_numpy()
@@ -98,7 +103,7 @@ def cross_validated(rows: DataFrame, group: list[str], id_: str, grid: tuple[flo
 
     kinds = dict(rows.dtypes)
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in [*group, id_, "fold", "y"]], "proba double", "c double"])
-    return rows.select(*group, id_, "fold", "y", "x", *([given] if given else [])).groupBy(*group).applyInPandas(fit, schema)
+    return dealt(rows.select(*group, id_, "fold", "y", "x", *([given] if given else [])), group).groupBy(*group).applyInPandas(fit, schema)
 
 
 def fitted_models(rows: DataFrame, group: list[str], c: float = 1.0, kept: float | None = 0.95) -> DataFrame:
@@ -116,7 +121,7 @@ def fitted_models(rows: DataFrame, group: list[str], c: float = 1.0, kept: float
 
     kinds = dict(rows.dtypes)
     schema = ", ".join([*[f"`{g}` {kinds[g]}" for g in group], "fold int", "center array<double>", "scale array<double>", "pca array<array<double>>", "coef array<double>", "c double"])
-    return rows.select(*group, "fold", "y", "x").groupBy(*group).applyInPandas(fit, schema)
+    return dealt(rows.select(*group, "fold", "y", "x"), group).groupBy(*group).applyInPandas(fit, schema)
 
 
 def applied(x: str, scaler: str, pca: str, coef: str) -> Column:
