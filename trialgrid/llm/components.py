@@ -14,14 +14,15 @@ def components(links: DataFrame) -> DataFrame:
     Nodes have the same root if and only if links join them; which node is the root is arbitrary. Each round every node
     takes the neighbour (or itself) of the least seeded hash, links are rewritten to what their ends took, and loops and
     repeats go. A random order makes a constant share of the nodes disappear each round whatever the shape, a long chain
-    too, so the rounds grow with the logarithm of the input. The least neighbour is a partially aggregated minimum and
+    too, so the rounds grow with the logarithm of the input. An order holds for two rounds: a star's centre takes the
+    least node of all in the first and all others take it in the second. The least neighbour is a partially aggregated minimum and
     the rewriting is an equi-join that Spark may split, so a node with very many links is no single task. Only counts
     reach the driver. An empty table gives no rows; loops add nothing; repeated links are allowed.
     """
     now = stored(links.select("a", "b").where("a != b").distinct())
-    trail, seed = [], 0
+    trail = []
     while now.limit(1).count():
-        seed += 1
+        seed = 1 + len(trail) // 2
         key = lambda c: F.struct(F.xxhash64(F.lit(seed), c).alias("h"), F.col(c).alias("x"))  # noqa: E731, B023
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both.groupBy("a").agg(F.min(key("b")).alias("m")).select(F.col("a").alias("node"), F.least("m", key("a"))["x"].alias("to"))
