@@ -11,8 +11,9 @@ twice. Both allocations are used:
   many sets hold (a passage repeated over the corpus) is costly too: a set that has H + 1 others is done without it.
   Only sets that haven't, those of large groups of near copies, stay in such a bucket.
 
-Candidates of small buckets are verified pair by pair. In a large bucket each set is first verified against one
-centre; sets that this leaves in different components are verified in blocks, all against all, without a row per pair.
+Candidates of small buckets are verified pair by pair. A large bucket has a centre; each set is first verified against
+the centres of some of its large buckets. Large buckets whose sets this leaves in different components are verified in
+blocks, all against all, without a row per pair.
 Verification counts equal shingles, so a link below the threshold can't pass.
 
 Shingles are 64-bit hashes; two given different ones agree with a chance of about 2 ** -64.
@@ -259,7 +260,7 @@ def _list_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for members in batch.column("members").to_pylist():
             own = np.frombuffer(members, np.int64)
             name = int(np.frombuffer(members, np.uint64).sum(dtype=np.uint64).view(np.int64)) if len(own) else 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), name)), pa.array(own)], names=["list", "set_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), name)), pa.array(np.full(len(own), len(own))), pa.array(own)], names=["list", "size", "set_id"])
 
 
 def _wanted_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,10 +360,15 @@ def similar_components(docs: DataFrame) -> DataFrame:
     pairs = found.where("kind = 0").select("a", "b")
     # a set in more large buckets than it can do without stays in them
     inside = found.where("kind = 2").groupBy(F.col("a").alias("set_id")).agg(F.sum("n").alias("n"), F.min("b").alias("spare")).where("n > spare").select("set_id", "n")
-    lists = found.where("kind = 1").mapInArrow(_list_members, "list long, set_id long").distinct()
+    lists = found.where("kind = 1").mapInArrow(_list_members, "list long, size long, set_id long").distinct()
     lists = stored(lists.join(inside, "set_id"))
     centre = lists.groupBy("list").agg(F.max(F.struct("n", "set_id"))["set_id"].alias("centre"))
-    stars = stored(lists.join(centre, "list").select(F.col("set_id").alias("a"), F.col("centre").alias("b")).where("a != b").distinct())
+    # a set meets the centres of four of its large buckets at most, whatever their number: centres repeat, and the
+    # buckets that stay open are verified below
+    size = F.struct("size", "list")
+    some = lists.groupBy("set_id").agg(F.array_distinct(F.array(F.max(size)["list"], F.min(size)["list"], F.max("list"), F.min("list"))).alias("list"))
+    stars = some.select("set_id", F.explode("list").alias("list"))
+    stars = stored(stars.join(centre, "list").select(F.col("set_id").alias("a"), F.col("centre").alias("b")).where("a != b").distinct())
     pairs = stored(pairs.union(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     drop_stored(found)
 
