@@ -16,6 +16,7 @@ MODULES = {
     "op7_mixing": "op7_mixing",
     "op8_line_dedup": "op8_line_dedup",
     "op9_quality_rules": "op9_quality_rules",
+    "op13_merkle_manifest": "op13_merkle_manifest",
 }
 
 
