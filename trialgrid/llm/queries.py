@@ -16,6 +16,8 @@ MODULES = {
     "op7_mixing": "op7_mixing",
     "op8_line_dedup": "op8_line_dedup",
     "op9_quality_rules": "op9_quality_rules",
+    "op11_license_scan": "op11_license_scan",
+    "op12_whitening": "op12_whitening",
     "op13_merkle_manifest": "op13_merkle_manifest",
 }
 
