@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialgrid.operators.decoders import _auc, dealt, fit_logistic
-from trialgrid.operators.relational import HASH_MODULUS, HASH_MULTIPLIER, SEED_MULTIPLIER
+from trialgrid.operators.relational import hash_order
 
 #: Fixed values of the search: C of the baseline, C of the full model, shares of variance that PCA keeps.
 BASELINE_C = tuple(np.logspace(-1, 1, 2).tolist())
@@ -44,7 +44,7 @@ def repeated_splits(trials: DataFrame, group: list[str], id_: str, label: str, s
     sizes = sizes.where("_c = 2").withColumn("_f", F.when(enough, first).when(F.least("_t", "_h") >= 2, F.col("_h"))).where("_f >= 2")
     rows = rows.join(classes.select(*group, "_y", "_train"), [*group, "_y"]).join(sizes.select(*group, "_f"), group)
     rows = rows.withColumn("_seed", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    order = (F.col(id_).cast("long") % 1000003 * F.lit(HASH_MULTIPLIER) + F.col("_seed") * F.lit(SEED_MULTIPLIER)) % F.lit(HASH_MODULUS)
+    order = hash_order(id_, "_seed")
     rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*group, "_seed", "_y").orderBy(order, id_))).withColumn("_in", F.col("_k") <= F.col("_train"))
     turn = F.row_number().over(Window.partitionBy(*group, "_seed", "_in", "_s").orderBy(order, id_)) - 1
     rows = rows.withColumn("_fold", F.when(F.col("_in"), turn % F.col("_f")).otherwise(-1).cast("int"))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trialgrid.operators.quantiles import exact_percentiles
+
 
 def site_key(*parts: Column) -> Column:
     return F.concat_ws("_", *[p.cast("string") for p in parts])
@@ -87,7 +89,8 @@ def changed(column: str, group: list[str], order: list[str]) -> Column:
 
 def above_percentile(scores: DataFrame, score: str, q: float) -> DataFrame:
     """Rows of a table of group scores above its own percentile."""
-    return scores.crossJoin(F.broadcast(scores.agg(F.percentile(score, F.lit(q)).alias("_limit")))).where(F.col(score) > F.col("_limit")).drop("_limit")  # one row
+    limit = exact_percentiles(scores, score, [q]).select(F.col("percentile").alias("_limit"))  # one row
+    return scores.crossJoin(F.broadcast(limit)).where(F.col(score) > F.col("_limit")).drop("_limit")
 
 
 def repeats(rows: DataFrame, key: list[str]) -> DataFrame:

@@ -5,13 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: An order that any engine can reproduce: arithmetic on the key and a seed.
-HASH_MULTIPLIER, SEED_MULTIPLIER, HASH_MODULUS = 2654435761, 40503, 4294967296
+from trialgrid.operators.quantiles import exact_percentiles, group_key
 
+#: Numbers of an order that any engine can reproduce: a hash of the key and a seed by squares modulo a prime. Every step
+#: stays in 64 bits. Squaring twice with a shift between makes the orders of different seeds unlike each other; a seed
+#: that is only added would turn the whole order by a little.
+KEY_MODULUS, SEED_STEP, SHIFT, MULTIPLIER, HASH_MODULUS = 1000000007, 7919, 40503, 48271, 2147483647
 
-def hash_order(key: str | Column, seed: int = 0) -> Column:
+
+def hash_order(key: str | Column, seed: int | str | Column = 0) -> Column:
+    """A hash of an integer key, from 0 up to HASH_MODULUS; equal hashes are rare but possible."""
     key = F.col(key) if isinstance(key, str) else key
-    return (key.cast("long") % 1000003 * F.lit(HASH_MULTIPLIER) + F.lit(seed * SEED_MULTIPLIER)) % F.lit(HASH_MODULUS)
+    seed = F.lit(seed) if isinstance(seed, int) else F.col(seed) if isinstance(seed, str) else seed
+    x = F.pmod(key.cast("long"), F.lit(KEY_MODULUS)) + seed.cast("long") * SEED_STEP + 1
+    x = (x * x % F.lit(HASH_MODULUS) + SHIFT) * MULTIPLIER % F.lit(HASH_MODULUS)
+    return x * x % F.lit(HASH_MODULUS)
+
+
+def seeded_places(rows: DataFrame, group: list[str], order: Column, key: str, out: str = "place", most: int = 1 << 17) -> DataFrame:
+    """``rows`` with their place from 1 in the group, by ``order`` (0 up to HASH_MODULUS), then ``key``.
+
+    Rows are ranked in buckets of the order and the buckets' sizes are summed up, about ``most`` rows a bucket: a hash
+    spreads any group evenly, so no group is one task. Where the table fits one bucket it is a plain window.
+    """
+    buckets = max(1, -(-rows.count() // most))
+    named = rows.withColumn("_o", order)
+    if buckets == 1:
+        return named.withColumn(out, F.row_number().over(Window.partitionBy(*group).orderBy("_o", key))).drop("_o")
+    named = named.withColumn("_b", F.floor(F.col("_o") * F.lit(buckets) / F.lit(HASH_MODULUS))).withColumn("_g", group_key(group))
+    sizes = named.groupBy("_g", "_b").agg(F.count("*").alias("_n"))
+    sizes = sizes.withColumn("_f", F.coalesce(F.sum("_n").over(Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy("_g", "_b").orderBy("_o", key))
+    placed = named.withColumn("_i", inside).join(sizes.select("_g", "_b", "_f"), ["_g", "_b"])
+    return placed.withColumn(out, (F.col("_f") + F.col("_i")).cast("int")).drop("_o", "_b", "_g", "_f", "_i")
 
 
 def sampled(df: DataFrame, stratum: list[str], key: str, n: int, seed: int = 0) -> DataFrame:
@@ -22,20 +48,20 @@ def sampled(df: DataFrame, stratum: list[str], key: str, n: int, seed: int = 0)
 
 def matched_sample(df: DataFrame, wanted: DataFrame, stratum: list[str], key: str, seed: int = 0) -> DataFrame:
     """As many rows of each stratum as ``wanted`` (stratum, k) says; with replacement, in turn, where there are too few."""
-    by = Window.partitionBy(*stratum).orderBy(hash_order(key, seed), key)
-    rows = df.withColumn("_i", F.row_number().over(by) - 1).withColumn("_m", F.count("*").over(Window.partitionBy(*stratum)))
+    rows = seeded_places(df, stratum, hash_order(key, seed), key, "_i").withColumn("_i", F.col("_i") - 1)
     draws = wanted.where("k > 0").select(*stratum, F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("draw"))
     sizes = df.groupBy(*stratum).agg(F.count("*").alias("_size"))
     picks = draws.join(sizes, stratum).withColumn("_i", F.pmod(F.col("draw"), F.col("_size")).cast("int")).drop("_size")
-    return picks.join(rows.drop("_m"), [*stratum, "_i"]).drop("_i")
+    return picks.join(rows, [*stratum, "_i"]).drop("_i")
 
 
 def split(df: DataFrame, label: list[str], key: str, share: float = 0.8, seeds: tuple[int, ...] = (0, 1, 2, 3, 4)) -> DataFrame:
     """Repeated stratified split: a row per seed with ``seed`` and ``train``."""
     rows = df.withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
-    order = (F.col(key).cast("long") % 1000003 * F.lit(HASH_MULTIPLIER) + F.col("seed") * F.lit(SEED_MULTIPLIER)) % F.lit(HASH_MODULUS)
-    by = Window.partitionBy("seed", *label)
-    return rows.withColumn("_n", F.row_number().over(by.orderBy(order, key))).withColumn("train", F.col("_n") <= F.floor(F.count("*").over(by) * share + 0.5)).drop("_n")
+    order = hash_order(key, "seed")
+    sizes = df.groupBy(*label).agg(F.floor(F.count("*") * share + 0.5).alias("_train")).select(group_key(label).alias("_l"), "_train")
+    placed = seeded_places(rows, ["seed", *label], order, key, "_n").withColumn("_l", group_key(label)).join(sizes, "_l")
+    return placed.withColumn("train", F.col("_n") <= F.col("_train")).drop("_n", "_l", "_train")
 
 
 def paired(a: DataFrame, b: DataFrame, stratum: list[str], order_a: list[str], order_b: list[str]) -> DataFrame:
@@ -77,7 +103,8 @@ def recoded(df: DataFrame, keys: list[str], fixes: DataFrame, column: str) -> Da
 
 def quantile_bins(df: DataFrame, value: str, n: int) -> DataFrame:
     """Bin 0..n-1 by exact quantile cut points (equal ones count once), right-closed, and the bin's midpoint."""
-    cuts = df.agg(F.array_distinct(F.percentile(value, F.array(*[F.lit(i / n) for i in range(n + 1)]))).alias("_c"))
+    found = exact_percentiles(df, value, [i / n for i in range(n + 1)])  # a row a cut
+    cuts = found.agg(F.array_distinct(F.array_sort(F.collect_list("percentile"))).alias("_c"))
     x = F.col(value)
     rows = df.crossJoin(F.broadcast(cuts)).withColumn("bin", F.greatest(F.lit(0), F.size(F.filter("_c", lambda c: c < x)) - 1))
     return rows.withColumn("mid", (F.get("_c", F.col("bin")) + F.get("_c", F.col("bin") + 1)) / 2).drop("_c")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialgrid.operators.auc import average_rank
+from trialgrid.operators.quantiles import correlation
 
 
 def _class_sums(rows: DataFrame, value: str, cls: str, group: list[str]) -> DataFrame:
@@ -41,8 +42,7 @@ def one_sample_t(rows: DataFrame, value: Column, group: list[str]) -> DataFrame:
 def correlations(rows: DataFrame, x: str, y: str, group: list[str]) -> DataFrame:
     """Pearson and Spearman (average ranks) by group, and Spearman's t; null where a side is constant."""
     ranked = rows.withColumn("_rx", average_rank(x, group)).withColumn("_ry", average_rank(y, group))
-    sure = lambda a, b: F.when((F.var_pop(a) > 1e-12) & (F.var_pop(b) > 1e-12), F.corr(a, b))
-    out = ranked.groupBy(*group).agg(F.count("*").alias("n"), sure(x, y).alias("pearson"), sure("_rx", "_ry").alias("spearman"))
+    out = ranked.groupBy(*group).agg(F.count("*").alias("n"), correlation(x, y).alias("pearson"), correlation("_rx", "_ry").alias("spearman"))
     rho = F.col("spearman")
     return out.withColumn("t", F.when((F.abs(rho) < 1) & (F.col("n") > 2), rho * F.sqrt((F.col("n") - 2) / (1 - rho * rho))))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trialgrid.operators import comparison as cm
 from trialgrid.operators import decoders
-from trialgrid.plans.registry import query
+from trialgrid.plans.registry import query, sql_order
 from trialgrid.sources.tables import table
 
 #: Vectors of a session; a third of them are of one channel.
@@ -34,7 +34,7 @@ def _windows(rows: DataFrame) -> DataFrame:
     return decoders.decoding_inputs(rows, "y", 16, 16, 0, 64, [*SITE, "epoch", "cue"]).join(_splits(rows), [*SITE, "epoch"])
 
 
-_ORDER = "(epoch % 1000003 * 2654435761 + repeat * 40503) % 4294967296, epoch"
+_ORDER = sql_order("epoch", "repeat") + ", epoch"
 
 
 @query(f"""SELECT * FROM (WITH t AS ({_TRIALS}), c AS (SELECT channel, session, y, count(*) AS n, floor(count(*) * 0.8 + 0.5)::BIGINT AS k FROM t GROUP BY ALL),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trialgrid.operators import arrays as ar
 from trialgrid.operators import auc, stats
+from trialgrid.operators.quantiles import exact_percentiles
 from trialgrid.plans.registry import query
 from trialgrid.sources.tables import epochs, predictions, trials
 
@@ -59,7 +60,7 @@ def early_late_means(spark, d):
 def aligned_window_grid(spark, d):
     """Windows in phase with each trial's event, from a global first sample to the 80th percentile of the trials' ends."""
     rows = epochs(spark, d).withColumn("at", (F.lit(10) + F.col("epoch") % 5).cast("int"))
-    cut = rows.agg(F.percentile(48 + F.col("epoch") % 10, F.lit(0.8)).alias("cut"))
+    cut = exact_percentiles(rows, 48 + F.col("epoch") % 10, [0.8]).select(F.col("percentile").alias("cut"))
     start = F.explode(F.transform(F.sequence(F.lit(0), F.lit(56), F.lit(8)), lambda k: (F.col("at") % 8 + k).cast("int"))).alias("first")
     grid = rows.crossJoin(F.broadcast(cut)).select("epoch", "channel", "at", "cut", start)
     return grid.where((F.col("first") >= 4) & (F.col("first") + 8 <= F.least(F.lit(64.0), F.col("cut")))).select("epoch", "channel", "first", (F.col("first") + 8).alias("last"), (F.col("first") - F.col("at")).alias("relative"))

@@ -97,10 +97,10 @@ def true_class_probability(spark, d):
     return predictions(spark, d).select("epoch", "smin", F.when(F.col("target") == 0, 1 - F.col("proba")).otherwise(F.col("proba")).alias("p_true"), F.greatest(x, F.lit(0.0)).alias("clipped"), F.when(x >= 0, x).alias("masked"))
 
 
-@query("SELECT site, smin, mean_auc, mean_auc > 0.5 AND n_folds >= 3 AS kept FROM (" + MEANS + ") WHERE mean_auc > 0.45 AND site % 2 = 0", ("mean_auc",))
+@query("SELECT site, smin, mean_auc, mean_auc > 0.5 AND n_folds >= 3 AS kept FROM (" + MEANS + ") WHERE mean_auc > 0.45 AND n_folds >= 2", ("mean_auc",))
 def filtered_means(spark, d):
     """A user's filter string, then a threshold and a control threshold."""
-    rows = dv.filtered(_means(spark, d), "mean_auc > 0.45 and site % 2 = 0")
+    rows = dv.filtered(_means(spark, d), "mean_auc > 0.45 and n_folds >= 2")
     return rows.select("site", "smin", "mean_auc", ((F.col("mean_auc") > 0.5) & (F.col("n_folds") >= 3)).alias("kept"))
 
 

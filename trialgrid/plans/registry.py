@@ -12,24 +12,33 @@ from trialgrid.operators import arrays as ar
 from trialgrid.functions.special import beta_q, binom_p, t_p
 from trialgrid.operators import auc, decoders, stats
 from trialgrid.operators import relational as rel
+from trialgrid.operators.quantiles import percentile_columns
 from trialgrid.sources.tables import SQL_VIEWS, epochs, predictions, table, trials
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def sql_order(key: str, seed: str = "0") -> str:
+    """``relational.hash_order`` in SQL."""
+    x = f"(({key})::BIGINT % {rel.KEY_MODULUS} + {rel.KEY_MODULUS}) % {rel.KEY_MODULUS} + ({seed}) * {rel.SEED_STEP} + 1"
+    x = f"((({x}) * ({x})) % {rel.HASH_MODULUS} + {rel.SHIFT}) * {rel.MULTIPLIER} % {rel.HASH_MODULUS}"
+    return f"(({x}) * ({x}) % {rel.HASH_MODULUS})"
+
+
 def query(sql: str | None = None, rounded: tuple[str, ...] = ()):
-    """Register a function as a query by its own name; ``rounded`` columns are rounded to 6 digits on both sides."""
+    """Register a function as a query by its own name; ``rounded`` columns are rounded to 6 digits on both sides, after 12
+    digits, so that a tie at the sixth digit doesn't hang on the order of a sum."""
 
     def put(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             out = f(spark, sf_dir)
-            return out.withColumns({c: F.round(F.col(c), 6) + F.lit(0.0) for c in rounded})
+            return out.withColumns({c: F.round(F.round(F.col(c), 12), 6) + F.lit(0.0) for c in rounded})
 
         QUERIES[f.__name__] = run
         if sql:
-            outer = ", ".join([f'round("{c}", 6) + 0.0 AS "{c}"' for c in rounded])
-            body = f"SELECT * REPLACE ({outer}) FROM ({sql})" if rounded else sql
+            outer = ", ".join([f'round(round("{c}", 12), 6) + 0.0 AS "{c}"' for c in rounded])
+            body = f"SELECT * REPLACE ({outer}) FROM ({sql})" if rounded else f"SELECT * FROM ({sql})" if sql.lstrip().startswith("WITH") else sql
             SQL[f.__name__] = f"WITH {SQL_VIEWS.strip()} {body}"
         return run
 
@@ -237,8 +246,8 @@ def pairwise_pearson(spark, d):
 
 
 # permutations: a target at a hashed place of its site stands in for a shuffled one
-_PERM = """SELECT site, permutation, avg(CASE WHEN t = 1 THEN proba END) - avg(CASE WHEN t = 0 THEN proba END) AS gap FROM (
-  SELECT p.site, q.permutation, p.proba, CAST((p.epoch % 1000003 * 2654435761 + (q.permutation * 97 + p.smin) * 40503) % 4294967296 < 1400000000 AS INT) AS t FROM v_predictions p, (SELECT unnest(range(20)) AS permutation) q) GROUP BY site, permutation"""
+_PERM = f"""SELECT site, permutation, avg(CASE WHEN t = 1 THEN proba END) - avg(CASE WHEN t = 0 THEN proba END) AS gap FROM (
+  SELECT p.site, q.permutation, p.proba, CAST({sql_order("p.epoch", "q.permutation * 97 + p.smin")} < {rel.HASH_MODULUS // 3} AS INT) AS t FROM v_predictions p, (SELECT unnest(range(20)) AS permutation) q) GROUP BY site, permutation"""
 _TRUE = "SELECT site, avg(CASE WHEN target = 1 THEN proba END) - avg(CASE WHEN target = 0 THEN proba END) AS gap FROM v_predictions GROUP BY site"
 _P = f"SELECT t.site, round(t.gap, 9) AS gap, (count(*) FILTER (WHERE round(p.gap, 9) >= round(t.gap, 9)) + 1) / 21.0 AS p FROM ({_TRUE}) t LEFT JOIN ({_PERM}) p ON t.site = p.site GROUP BY t.site, t.gap"
 
@@ -247,9 +256,8 @@ def _permutation(spark: SparkSession, d: str) -> DataFrame:
     rows = predictions(spark, d)
     gap = lambda t: F.round(F.avg(F.when(t == 1, F.col("proba"))) - F.avg(F.when(t == 0, F.col("proba"))), 9)
     true = rows.groupBy("site").agg(gap(F.col("target")).alias("gap"))
-    copies = rows.withColumn("permutation", F.explode(F.sequence(F.lit(0), F.lit(19))))
-    key = (F.col("epoch") % 1000003 * F.lit(rel.HASH_MULTIPLIER) + (F.col("permutation") * 97 + F.col("smin")) * F.lit(rel.SEED_MULTIPLIER)) % F.lit(rel.HASH_MODULUS)
-    permuted = copies.groupBy("site", "permutation").agg(gap((key < 1400000000).cast("int")).alias("gap"))
+    label = lambda k: (rel.hash_order("epoch", F.lit(k * 97) + F.col("smin")) < rel.HASH_MODULUS // 3).cast("int")
+    permuted = rows.groupBy("site").agg(F.array(*[gap(label(k)) for k in range(20)]).alias("gaps")).select("site", F.posexplode("gaps").alias("permutation", "gap"))
     return stats.permutation_p(true, permuted, ["site"], "gap")
 
 
@@ -332,10 +340,10 @@ def flattened_channels(spark, d):
     return ar.flattened(rows, ["trial"], "place", 5, 10)
 
 
-@query("SELECT s.epoch, s.pos, s.x FROM v_samples s WHERE s.channel NOT IN (SELECT channel FROM v_epochs WHERE list_max(samples) > 0.45) AND s.pos < 5", ("x",))
+@query("SELECT s.epoch, s.pos, s.x FROM v_samples s WHERE s.channel NOT IN (SELECT channel FROM v_epochs WHERE list_max(samples) > 0.45)", ("x",))
 def clean_channels(spark, d):
     marked = epochs(spark, d).withColumn("samples", F.transform("samples", lambda x: F.when(x <= 0.45, x)))
-    return ar.without_bad_channels(marked, "channel").select("epoch", F.posexplode(ar.window("samples", F.lit(0), F.lit(5))).alias("pos", "x"))
+    return ar.without_bad_channels(marked, "channel").select("epoch", F.posexplode("samples").alias("pos", "x"))
 
 
 _DAILY = "SELECT user_id, CAST(ts AS DATE) AS day, sum(value) AS v FROM events GROUP BY user_id, CAST(ts AS DATE)"
@@ -358,31 +366,32 @@ def smoothed_series(spark, d):
 
 # relational work
 
-@query("SELECT subject, step, epoch FROM (SELECT *, row_number() OVER (PARTITION BY subject, step ORDER BY (epoch % 1000003 * 2654435761 + 7 * 40503) % 4294967296, epoch) AS k FROM v_trials) WHERE k <= 5")
+@query("SELECT subject, step, epoch FROM (SELECT *, row_number() OVER (PARTITION BY subject, step ORDER BY " + sql_order("epoch", "7") + ", epoch) AS k FROM v_trials) WHERE k <= 5")
 def stratified_sample(spark, d):
     return rel.sampled(trials(spark, d), ["subject", "step"], "epoch", 5, 7).select("subject", "step", "epoch")
 
 
-@query("""SELECT epoch, response, seed, k <= floor(n * 0.8 + 0.5) AS train FROM (SELECT epoch, response, seed, row_number() OVER (PARTITION BY seed, response ORDER BY (epoch % 1000003 * 2654435761 + seed * 40503) % 4294967296, epoch) AS k, count(*) OVER (PARTITION BY seed, response) AS n
+@query(f"""SELECT epoch, response, seed, k <= floor(n * 0.8 + 0.5) AS train FROM (SELECT epoch, response, seed, row_number() OVER (PARTITION BY seed, response ORDER BY {sql_order("epoch", "seed")}, epoch) AS k, count(*) OVER (PARTITION BY seed, response) AS n
   FROM v_trials, (SELECT unnest([0, 1])::INT AS seed))""")
 def stratified_split(spark, d):
     return rel.split(trials(spark, d).select("epoch", "response"), ["response"], "epoch", seeds=(0, 1))
 
 
-@query("""SELECT a.subject, a.draw, b.epoch FROM (SELECT subject, n, unnest(range(w)) AS draw FROM (SELECT subject, count(*) AS n, 2 * count(*) - 3 AS w FROM v_trials WHERE response = 1 GROUP BY subject)) a
-  JOIN (SELECT subject, epoch, row_number() OVER (PARTITION BY subject ORDER BY (epoch % 1000003 * 2654435761 + 40503) % 4294967296, epoch) - 1 AS i FROM v_trials WHERE response = 1) b ON a.subject = b.subject AND a.draw % a.n = b.i""")
+@query(f"""SELECT a.subject, a.draw, b.epoch FROM (SELECT subject, n, unnest(range(w)) AS draw FROM (SELECT subject, count(*) AS n, 2 * count(*) - 3 AS w FROM v_trials WHERE response = 1 GROUP BY subject)) a
+  JOIN (SELECT subject, epoch, row_number() OVER (PARTITION BY subject ORDER BY {sql_order("epoch", "1")}, epoch) - 1 AS i FROM v_trials WHERE response = 1) b ON a.subject = b.subject AND a.draw % a.n = b.i""")
 def matched_sample(spark, d):
     rows = trials(spark, d).where("response = 1")
     wanted = rows.groupBy("subject").agg((2 * F.count("*") - 3).alias("k"))
     return rel.matched_sample(rows.select("subject", "epoch"), wanted, ["subject"], "epoch", 1).select("subject", "draw", "epoch")
 
 
-@query("""SELECT a.step, a.place::INT AS place, a.epoch, b.epoch AS partner FROM (SELECT step, epoch, row_number() OVER (PARTITION BY step ORDER BY epoch) AS place FROM v_trials WHERE subject = 0) a
-  JOIN (SELECT step, epoch, row_number() OVER (PARTITION BY step ORDER BY epoch) AS place FROM v_trials WHERE subject = 1) b USING (step, place)""")
+@query("""WITH t AS (SELECT subject, step, epoch, row_number() OVER (PARTITION BY subject, step ORDER BY epoch) AS place FROM v_trials)
+  SELECT a.subject, a.step, a.place::INT AS place, a.epoch, b.epoch AS partner FROM t a JOIN t b ON b.subject = a.subject + 1 AND a.step = b.step AND a.place = b.place""")
 def paired_populations(spark, d):
+    """Each subject's trials paired with the next subject's by step and place."""
     t = trials(spark, d)
-    a, b = t.where("subject = 0").select("step", "epoch"), t.where("subject = 1").select("step", F.col("epoch").alias("partner"))
-    return rel.paired(a, b, ["step"], ["epoch"], ["partner"])
+    a, b = t.select("subject", "step", "epoch"), t.select((F.col("subject") - 1).alias("subject"), "step", F.col("epoch").alias("partner"))
+    return rel.paired(a, b, ["subject", "step"], ["epoch"], ["partner"])
 
 
 @query("""SELECT subject, step, a, b, a - b AS gap FROM (SELECT subject, step, avg(value) FILTER (WHERE pair = 'bm') AS a, avg(value) FILTER (WHERE pair = 'dn') AS b FROM v_trials GROUP BY subject, step) WHERE a IS NOT NULL AND b IS NOT NULL""", ("a", "b", "gap"))
@@ -415,8 +424,7 @@ def equal_bins(spark, d):
 
 @query("SELECT subject, quantile_cont(value, 0.8) AS p80, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS q2, quantile_cont(value, 0.75) AS q3 FROM v_trials GROUP BY subject", ("p80", "q1", "q2", "q3"))
 def percentiles(spark, d):
-    p = lambda q: F.percentile("value", F.lit(q))
-    return trials(spark, d).groupBy("subject").agg(p(0.8).alias("p80"), p(0.25).alias("q1"), p(0.5).alias("q2"), p(0.75).alias("q3"))
+    return percentile_columns(trials(spark, d), "value", {"p80": 0.8, "q1": 0.25, "q2": 0.5, "q3": 0.75}, ["subject"])
 
 
 @query("SELECT electrode, pair, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS sd, stddev_samp(value) / sqrt(count(*)) AS sem, bool_or(response = 1) AS any_response, max(step) AS last_step FROM v_trials GROUP BY electrode, pair HAVING count(*) >= 3", ("mean", "sd", "sem"))
@@ -442,9 +450,9 @@ def presence_patterns(spark, d):
     return seen.groupBy("bm", "dn", "pb").agg(F.count("*").alias("n"))
 
 
-@query("SELECT word, fold, count(*) AS n_rows FROM v_predictions WHERE site % 10 = 1 GROUP BY word, fold HAVING count(*) > 1")
+@query("SELECT site, word, smin, fold, count(*) AS n_rows FROM v_predictions GROUP BY ALL HAVING count(*) > 1")
 def repeated_keys(spark, d):
-    return rel.unique_key_report(predictions(spark, d).where("site % 10 = 1"), ["word", "fold"])
+    return rel.unique_key_report(predictions(spark, d), ["site", "word", "smin", "fold"])
 
 
 @query("SELECT word, fold, count(*) AS n_rows FROM v_predictions GROUP BY word, fold HAVING count(*) > 1")
