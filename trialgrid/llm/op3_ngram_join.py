@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trialgrid.llm.components import components
-from trialgrid.llm.shared import drop_stored, free_name, partitions, small_or_shuffled, stored
+from trialgrid.llm.shared import drop_stored, free_name, partitions, small_or_shuffled, stored, tidy
 from trialgrid.llm.textbytes import chunks, mix, shingles
 
 #: Threshold 4 / 5, and the words of a shingle.
@@ -350,17 +350,17 @@ def similar_components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    sets = stored(text.mapInArrow(_document_sets, "doc_id long, n_shingles long, set_id long, sketch array<long>"))
+    sets = stored(text.mapInArrow(tidy(_document_sets), "doc_id long, n_shingles long, set_id long, sketch array<long>"))
     shingles_ = sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     n_parts = max(partitions(spark), -(-shingles_ // PART_SHINGLES))
     # one row a set with a document's id: copies are met here once, summed in each task first
     every = stored(sets.where("doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n"), F.any_value("sketch").alias("sketch")))
-    packed = text.select("text").mapInArrow(_packed_signatures(n_parts), "part int, sig binary, own binary, spare binary")
-    found = stored(packed.repartition(n_parts, "part").mapInArrow(_buckets, _FOUND))
+    packed = text.select("text").mapInArrow(tidy(_packed_signatures(n_parts)), "part int, sig binary, own binary, spare binary")
+    found = stored(packed.repartition(n_parts, "part").mapInArrow(tidy(_buckets), _FOUND))
     pairs = found.where("kind = 0").select("a", "b")
     # a set in more large buckets than it can do without stays in them
     inside = found.where("kind = 2").groupBy(F.col("a").alias("set_id")).agg(F.sum("n").alias("n"), F.min("b").alias("spare")).where("n > spare").select("set_id", "n")
-    lists = found.where("kind = 1").mapInArrow(_list_members, "list long, size long, set_id long").distinct()
+    lists = found.where("kind = 1").mapInArrow(tidy(_list_members), "list long, size long, set_id long").distinct()
     lists = stored(lists.join(inside, "set_id"))
     centre = lists.groupBy("list").agg(F.max(F.struct("n", "set_id"))["set_id"].alias("centre"))
     # a set meets the centres of four of its large buckets at most, whatever their number: centres repeat, and the
@@ -385,9 +385,9 @@ def similar_components(docs: DataFrame) -> DataFrame:
     ends = near.select(F.col("a").alias("set_id")).union(near.select("b")).union(lists.select("set_id")).distinct()
     wanted = stored(known.join(ends, "set_id").select("doc_id"))
     one = text.join(small_or_shuffled(wanted, wanted.count()), "doc_id")
-    tokens = stored(one.select("text").mapInArrow(_wanted_sets, "set_id long, n long, tokens binary"))
+    tokens = stored(one.select("text").mapInArrow(tidy(_wanted_sets), "set_id long, n long, tokens binary"))
     x, y = tokens.select(F.col("set_id").alias("a"), F.col("tokens").alias("ta")), tokens.select(F.col("set_id").alias("b"), F.col("tokens").alias("tb"))
-    links = stored(near.join(x, "a").join(y, "b").select("a", "ta", "b", "tb").mapInArrow(_similar, "a long, b long"))
+    links = stored(near.join(x, "a").join(y, "b").select("a", "ta", "b", "tb").mapInArrow(tidy(_similar), "a long, b long"))
     group = components(links)
 
     # large buckets whose sets are still in different components: all of their cluster against each other, in blocks
@@ -423,7 +423,7 @@ def _verified_blocks(members: DataFrame, tokens: DataFrame) -> DataFrame:
     x, y = packed.select("cluster", F.col("key").alias("kx"), F.col("sets").alias("x")), packed.select("cluster", F.col("key").alias("ky"), F.col("sets").alias("y"))
     names = packed.select("cluster", "key")
     meet = names.toDF("cluster", "kx").join(names.toDF("cluster", "ky"), "cluster").where("kx <= ky and not (kx.own and ky.own and kx.side = ky.side)")
-    return meet.repartition(partitions(members.sparkSession), "cluster", "kx", "ky").join(x, ["cluster", "kx"]).join(y, ["cluster", "ky"]).select("x", "y").mapInArrow(_block_links, "a long, b long")
+    return meet.repartition(partitions(members.sparkSession), "cluster", "kx", "ky").join(x, ["cluster", "kx"]).join(y, ["cluster", "ky"]).select("x", "y").mapInArrow(tidy(_block_links), "a long, b long")
 
 
 def _with_set_id(schema_names: list[str], name: str):
@@ -449,7 +449,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         return docs.join(small_or_shuffled(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
     set_id, rank = free_name(docs, "set_id", "rank")
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema], f"`{set_id}` long"])
-    rows = docs.mapInArrow(_with_set_id(docs.columns, set_id), schema)
+    rows = docs.mapInArrow(tidy(_with_set_id(docs.columns, set_id)), schema)
     gone = stored(gone.toDF("doc_id", set_id))
     rows = rows.join(small_or_shuffled(gone, gone.count()), ["doc_id", set_id], "left_anti")
     # of equal doc_ids in one component only the least set stays, and of its rows one
