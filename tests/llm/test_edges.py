@@ -140,3 +140,13 @@ def test_empty_tables(spark):
     assert find_personal_data(none, ["doc_id"]).count() == 0
     assert classify(none, none.select("doc_id")).count() == 0
     assert _shape("a1" * 100) == "xd1" * 100 and re.fullmatch("x", _shape("b" * 9000))
+
+
+def test_bpe_keeps_columns_of_any_name(spark):
+    from trialgrid.llm.op2_bpe import encode_and_decode
+
+    names = ["text", "_fresh", "_words", "_numbers", "_ids", "_bytes", "_k0", "a.b", "a b"]
+    docs = spark.createDataFrame([("some words, some words", *range(8)), (None, *range(8))], ", ".join(f"`{n}` {'string' if n == 'text' else 'int'}" for n in names))
+    got = encode_and_decode(docs, names).collect()
+    assert [tuple(r[n] for n in names) for r in got] == [tuple(r) for r in docs.collect()]
+    assert [bytes(r.decoded).decode() for r in got] == ["some words, some words", ""] and encode_and_decode(docs.limit(0), ["text"]).count() == 0

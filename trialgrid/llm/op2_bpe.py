@@ -27,6 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trialgrid.llm.shared import tidy
 from trialgrid.llm.textbytes import BEGINS, Chunk, cells, chunks, span_hashes, spread
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -419,13 +420,15 @@ def encode_and_decode(docs: DataFrame, keep: list[str], path: str | None = None,
         pattern = None
     pieces = read_ranks(path)
     ranks = RankMap(pieces)
-    rows = _in_large_tasks(docs.select(F.coalesce("text", F.lit("")).alias("text"), *[F.col(c) for c in keep]))
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]]
-    words = rows.mapInArrow(_numbered(pattern, pieces, ranks.unmerged), ", ".join(["_fresh boolean, _words array<array<int>>, _numbers binary", *kept]))
-    names = [F.col(f"`{c}`") for c in keep]
+    # kept columns have numbers inside, so that no name clashes
+    rows = _in_large_tasks(docs.select(F.coalesce("text", F.lit("")).alias("text"), *[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)]))
+    kept = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[1:]]
+    names = [f"_k{i}" for i in range(len(keep))]
+    words = rows.mapInArrow(tidy(_numbered(pattern, pieces, ranks.unmerged)), ", ".join(["_fresh boolean, _words array<array<int>>, _numbers binary", *kept]))
     coded = words.select("_fresh", "_numbers", ranks.encode(F.col("_words")).alias("_ids"), *names)
     coded = coded.select("_fresh", "_numbers", "_ids", ranks.decode(F.col("_ids")).alias("_bytes"), *names)
-    return coded.mapInArrow(_assembled, ", ".join([*kept, "ids array<int>, decoded binary"]))
+    coded = coded.mapInArrow(tidy(_assembled), ", ".join([*kept, "ids array<int>, decoded binary"]))
+    return coded.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "ids", "decoded")
 
 
 def digests(coded: DataFrame) -> list[Column]:
