@@ -8,7 +8,10 @@ import pytest
 import trialgrid.plans.comparison  # noqa: F401
 import trialgrid.plans.composites  # noqa: F401
 import trialgrid.plans.derived  # noqa: F401
+import trialgrid.plans.phases  # noqa: F401
 import trialgrid.plans.populations  # noqa: F401
+import trialgrid.plans.regression  # noqa: F401
+import trialgrid.plans.transfer  # noqa: F401
 from trialgrid.plans.registry import QUERIES, SQL
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")

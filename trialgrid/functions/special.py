@@ -71,6 +71,11 @@ def binom_tail(k: int, n: int) -> float:
     return 1.0 if k <= 0 else beta_inc(k, n - k + 1, 0.5)
 
 
+def f_tail(f: float, df1: float, df2: float) -> float:
+    """P(F > f) with df1 and df2 degrees of freedom."""
+    return 1.0 if f <= 0 else beta_inc(df2 / 2, df1 / 2, df2 / (df2 + df1 * f))
+
+
 def beta_quantile(q: float, a: float, b: float) -> float:
     """Quantile of the beta distribution, by bisection."""
     low, high = 0.0, 1.0

@@ -159,3 +159,28 @@ def resampled(df: DataFrame, new_length: int) -> DataFrame:
             yield part
 
     return df.mapInPandas(run, df.schema)
+
+
+def last_marked_end(intervals: DataFrame, key: list[str], mark: str, end: str) -> DataFrame:
+    """``key``, last_end: where the last interval ends whose mark isn't null or blank; keys without one are left out."""
+    marked = intervals.where(F.length(F.trim(F.regexp_replace(mark, r"\s", " "))) > 0)
+    return marked.groupBy(*key).agg(F.max(end).alias("last_end"))
+
+
+def windows_until(windows: DataFrame, ends: DataFrame, key: list[str], last: str) -> DataFrame:
+    """Windows that end (``last``) at their key's last_end or before, with how far before; keys without an end give none."""
+    rows = windows.join(ends.select(*key, "last_end"), key)
+    return rows.where(F.col(last) <= F.col("last_end")).withColumn("ahead", F.col("last_end") - F.col(last))
+
+
+def long_form(rows: DataFrame, keep: list[str], samples: str, start: float, rate: float) -> DataFrame:
+    """``keep``, time (of each sample, from ``start`` at ``rate`` a second), value; a null or empty array gives no rows."""
+    long = rows.select(*keep, F.posexplode(samples).alias("_i", "value"))
+    return long.select(*keep, (F.lit(start) + F.col("_i") / F.lit(rate)).alias("time"), "value")
+
+
+def with_contrast(own: DataFrame, others: DataFrame, label: str, flags: dict[str, object]) -> DataFrame:
+    """Labelled rows above contrast rows: in these ``label`` is ``contrast`` and ``flags`` have the given values; columns that
+    one side lacks are null there."""
+    contrast = others.withColumn(label, F.lit("contrast")).withColumns({k: F.lit(v) for k, v in flags.items()})
+    return own.unionByName(contrast, allowMissingColumns=True)
