@@ -8,6 +8,7 @@ import pytest
 import trialgrid.plans.comparison  # noqa: F401
 import trialgrid.plans.composites  # noqa: F401
 import trialgrid.plans.derived  # noqa: F401
+import trialgrid.plans.neurometrics  # noqa: F401
 import trialgrid.plans.phases  # noqa: F401
 import trialgrid.plans.populations  # noqa: F401
 import trialgrid.plans.regression  # noqa: F401

@@ -517,40 +517,46 @@ def heads_and_tails(spark, d):
 # many small models; no SQL can fit them, tests check gradients, held-out scores and hand-worked cases
 
 
+#: Vectors of a session of a channel: a fit stays at some hundred trials, whatever the table's size.
+SESSION = 900
+_SITE = ["channel", "session"]
+
+
 def _windows(spark: SparkSession, d: str) -> DataFrame:
-    rows = decoders.decoding_inputs(epochs(spark, d), "cls", 16, 16, 0, 64, ["channel", "epoch"])
-    return decoders.folds(rows, ["channel", "smin"], "epoch", 4)
+    sessions = epochs(spark, d).withColumn("session", F.floor(F.col("epoch") / SESSION))
+    rows = decoders.decoding_inputs(sessions, "cls", 16, 16, 0, 64, [*_SITE, "epoch"])
+    return decoders.folds(rows, [*_SITE, "smin"], "epoch", 4)
 
 
 @query()
 def decoding_searchlight(spark, d):
-    return decoders.cross_validated(_windows(spark, d), ["channel", "smin"], "epoch")
+    return decoders.cross_validated(_windows(spark, d), [*_SITE, "smin"], "epoch")
 
 
 @query()
 def decoding_scores(spark, d):
-    return auc.grouped_auc(decoders.cross_validated(_windows(spark, d), ["channel", "smin"], "epoch"), "y", "proba", ["channel", "smin", "fold"])
+    return auc.grouped_auc(decoders.cross_validated(_windows(spark, d), [*_SITE, "smin"], "epoch"), "y", "proba", [*_SITE, "smin", "fold"])
 
 
 @query()
 def model_table(spark, d):
-    return decoders.fitted_models(_windows(spark, d), ["channel", "smin"])
+    return decoders.fitted_models(_windows(spark, d), [*_SITE, "smin"])
 
 
 @query()
 def window_transfer(spark, d):
     rows = _windows(spark, d)
-    return decoders.transferred(rows, decoders.fitted_models(rows, ["channel", "smin"]), ["channel"], "epoch", F.col("smin") == 0, F.col("smin") == 32)
+    return decoders.transferred(rows, decoders.fitted_models(rows, [*_SITE, "smin"]), _SITE, "epoch", F.col("smin") == 0, F.col("smin") == 32)
 
 
 @query()
 def permuted_decoding(spark, d):
     rows = _windows(spark, d)
-    true = decoders.cross_validated(rows, ["channel", "smin"], "epoch")
-    peaks = auc.peak_windows(true.select(F.col("channel").alias("site"), "smin", "fold", F.col("y").alias("target"), "proba")).select(F.col("site").alias("channel"), "smin")
-    fits = true.select("channel", "smin", "fold", "c").distinct()
-    at_peaks = rows.join(peaks, ["channel", "smin"], "left_semi").join(fits, ["channel", "smin", "fold"], "left")
-    return decoders.cross_validated(decoders.permuted(at_peaks, ["channel", "smin"], "epoch", 20), ["channel", "smin", "permutation"], "epoch", given="c")
+    true = decoders.cross_validated(rows, [*_SITE, "smin"], "epoch")
+    peaks = auc.peak_windows(true.select(F.struct(*_SITE).alias("site"), "smin", "fold", F.col("y").alias("target"), "proba")).select("site.*", "smin")
+    fits = true.select(*_SITE, "smin", "fold", "c").distinct()
+    at_peaks = rows.join(peaks, [*_SITE, "smin"], "left_semi").join(fits, [*_SITE, "smin", "fold"], "left")
+    return decoders.cross_validated(decoders.permuted(at_peaks, [*_SITE, "smin"], "epoch", 20), [*_SITE, "smin", "permutation"], "epoch", given="c")
 
 
 @query()

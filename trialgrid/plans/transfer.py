@@ -100,8 +100,9 @@ def coefficient_table(spark, d):
 
 
 def _behaviour(rows: DataFrame) -> DataFrame:
-    """Signals with the behaviour (a stand-in from the class and the cue) and the word."""
-    return rows.withColumn("behaviour", ((F.col("y") + F.col("cue")) % 2).cast("int")).withColumn("word", F.when(F.col("cue") < 2, "a").otherwise("b"))
+    """Signals with the behaviour (a stand-in: the class, but for every fifth trial) and the word, from the id."""
+    flipped = (F.pmod("epoch", F.lit(5)) == 0).cast("int")
+    return rows.withColumn("behaviour", F.pmod(F.col("y") + flipped, F.lit(2)).cast("int")).withColumn("word", F.when(F.pmod(F.floor(F.col("epoch") / 3), F.lit(2)) == 0, "a").otherwise("b"))
 
 
 def _fitted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
