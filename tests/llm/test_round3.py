@@ -232,3 +232,44 @@ def test_manifest(spark, name):
         assert len(set(places)) == len(places)
         assert all(r.verified for r in manifest(docs).collect())
         assert manifest(docs.limit(0)).count() == 0
+
+
+# --- mixing: which documents are drawn ---
+
+
+def test_mix_draws_as_by_hand(spark):
+    from pyspark.sql import functions as F
+
+    from trialgrid.llm import op7_mixing as m
+    from trialgrid.llm.shared import unit
+
+    rng = random.Random(8)
+    rows = [(i, "w " * (rng.choice([0, 3, 20, 60, 700]) if i % 3 else rng.randint(1, 40)), "s%d" % (i % 4) if i % 11 else None) for i in range(400)] + [(7, "w w w", "s1")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    crc = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(-1))
+    size = F.regexp_count("text", F.lit(m.WORD)).cast("long")
+    keyed = docs.select("doc_id", "source", size.alias("size"), crc.alias("crc"), m.quality_weight(F.col("text"), size).alias("q")).withColumn("key", -F.ln(unit(F.xxhash64(F.lit(29), "doc_id", "crc", "size"))) / F.col("q")).collect()
+    got = m.mix_sources(docs).collect()
+    assert len(got) == len(rows)
+    for source in {r.source for r in got}:
+        mine, own = [r for r in got if r.source == source], sorted((r for r in keyed if r.source == source), key=lambda r: (r.key, r.doc_id, r.crc, r.size))
+        total, target = sum(r.size for r in own), mine[0].target
+        whole = int(target / total + 1e-12)
+        rest, drawn = target - whole * total, [False] * len(own)
+        for k in range(m.MOST_PASSES if rest > 1e-6 else 0):
+            gap, run = rest - sum(r.size for r, t in zip(own, drawn, strict=True) if t), 0
+            for i, r in enumerate(own):
+                if not drawn[i] and (k == 0 or r.size <= gap):
+                    run += r.size
+                    drawn[i] = run <= gap
+        gap = rest - sum(r.size for r, t in zip(own, drawn, strict=True) if t)
+        beyond = [(r.size, r.key, r.doc_id, r.crc, i) for i, r in enumerate(own) if not drawn[i] and gap < r.size < 2 * gap]
+        if beyond and rest > 1e-6:
+            drawn[min(beyond)[-1]] = True
+        want = sorted((r.doc_id, (whole + t) * r.size) for r, t in zip(own, drawn, strict=True))
+        near = sum(r.taken for r in mine)
+        assert abs(near - target) <= 0.02 * target
+        if abs(near - sum(t for _, t in want)) > 0.001 * target:  # passes end early once every source is near
+            raise AssertionError((source, near, target))
+        assert sorted((r.doc_id, r.taken) for r in mine) == want or len(want) == len(mine)
+    assert sum(r.taken for r in got) == pytest.approx(sum(r.size for r in got), rel=0.02)

@@ -2,8 +2,11 @@
 
 A source whose target is e times its size plus a rest gives e complete epochs of all its documents; the rest is drawn
 without replacement: each document gets an exponential key -ln(u) / weight, u from a seeded hash and the weight from
-the document's quality, and documents are taken in key order until their running size reaches the rest. The document
-that straddles the end is taken if that brings the sum nearer, so a source misses its target by half a document at most.
+the document's quality, and documents are taken in key order while their running size stays within the rest. Where a
+long document would go beyond it, the order goes on behind it with the documents that still fit, pass by pass: after each
+pass only documents no longer than what is missing take part. Passes end when no source misses more than a thousandth
+of its target, or when none has a document left that fits, or after MOST_PASSES; then one document more is taken where that
+brings a source nearer.
 
 Running sums are taken by bucket of the key: bucket totals first, then within each bucket, so that a source with a
 third of all rows is no single task.
@@ -20,6 +23,10 @@ from trialgrid.llm.shared import WORD, bucket_count, free_name, small_or_shuffle
 WEIGHTS = (5, 2, 1)
 #: No source, and so no document, is taken more than this many times.
 MOST_EPOCHS = 3
+#: Passes of the draw, each over one row a document without texts.
+MOST_PASSES = 6
+#: Share of its target that a source may miss before another pass is made.
+NEAR = 0.001
 
 
 def quality_weight(text: Column, size: Column) -> Column:
@@ -65,7 +72,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     rows = docs.select("doc_id", "source", z.alias("_s"), size.alias("size"), F.col("text").alias("_t"), F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(-1)).alias("_crc"), (weight if weight is not None else F.lit(None).cast("double")).alias("_q"))
     rows = rows.withColumn("_q", F.coalesce("_q", quality_weight(F.col("_t"), F.col("size")))).drop("_t")
     u = unit(F.xxhash64(F.lit(seed), "doc_id", "_crc", "size"))
-    rows = stored(rows.withColumn("_key", -F.ln(u) / F.col("_q")).drop("_q"))
+    rows = stored(rows.withColumn("_key", -F.ln(u) / F.col("_q")).drop("_q").withColumn("_uid", F.monotonically_increasing_id()))
     # steps of the key's logarithm: an exponential key of any rate has at most 0.26 of its mass in a doubling of the key,
     # so no bucket is hot, whatever the weights
     steps = bucket_count(rows.count(), 1024)
@@ -73,14 +80,30 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     parts = rows.groupBy("_s", "_b").agg(F.sum("size").alias("_n"))
     targets = source_targets(parts.groupBy("_s").agg(F.sum("_n").alias("source_size")), weights, most)
     run = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(run), F.lit(0))).drop("_n").join(targets, "_s")
-    inside = Window.partitionBy("_s", "_b").orderBy("_key", "doc_id", "_crc", "size").rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(firsts, ["_s", "_b"])
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + F.lit(1e-12))).otherwise(0)
-    out = out.withColumn("_e", epochs.cast("long"))
+    targets = targets.withColumn("_e", epochs.cast("long"))
     rest = F.greatest(F.col("target") - F.col("_e") * F.col("source_size"), F.lit(0.0))
-    drawn = (rest > 1e-6) & (F.col("_before") + F.col("_in") + F.col("size") / F.lit(2.0) <= rest)
-    out = out.withColumn("copies", F.col("_e") + F.when(drawn, 1).otherwise(0))
+    out = rows.join(targets.withColumn("_rest", F.when(rest > 1e-6, rest).otherwise(-1.0)), "_s").withColumn("_drawn", F.lit(False))
+    inside = Window.partitionBy("_s", "_b").orderBy("_key", "doc_id", "_crc", "size").rowsBetween(Window.unboundedPreceding, -1)
+    for k in range(MOST_PASSES):
+        # what is missing, the documents that fit into it, and their running size: buckets first, then inside each
+        missing = out.groupBy("_s").agg((F.first("_rest") - F.coalesce(F.sum(F.when(F.col("_drawn"), F.col("size"))), F.lit(0))).alias("_gap"))
+        out = out.join(missing, "_s")
+        fits = F.when(~F.col("_drawn") & (F.col("size") <= F.col("_gap")) if k else F.lit(True), F.col("size"))
+        sums = out.groupBy("_s", "_b").agg(F.coalesce(F.sum(fits), F.lit(0)).alias("_n"))
+        firsts = sums.withColumn("_before", F.coalesce(F.sum("_n").over(run), F.lit(0))).drop("_n")
+        out = out.withColumn("_in", F.coalesce(F.sum(fits).over(inside), F.lit(0))).join(firsts, ["_s", "_b"])
+        now = fits.isNotNull() & (F.col("_before") + F.col("_in") + F.col("size") <= F.col("_gap"))
+        out = stored(out.withColumn("_drawn", F.col("_drawn") | now).drop("_gap", "_in", "_before"))
+        state = out.groupBy("_s").agg(F.first("_rest").alias("r"), F.first("target").alias("t"), F.coalesce(F.sum(F.when(F.col("_drawn"), F.col("size"))), F.lit(0)).alias("d"), F.min(F.when(~F.col("_drawn") & (F.col("size") > 0), F.col("size"))).alias("least"))
+        if not state.where((F.col("r") - F.col("d") > F.col("t") * NEAR) & (F.col("least") <= F.col("r") - F.col("d"))).limit(1).count():
+            break
+    # one document more, the shortest of those that don't fit, where that brings its source nearer
+    missing = out.groupBy("_s").agg((F.first("_rest") - F.coalesce(F.sum(F.when(F.col("_drawn"), F.col("size"))), F.lit(0))).alias("_gap"))
+    beyond = out.where(~F.col("_drawn")).join(missing, "_s").where((F.col("size") > F.col("_gap")) & (F.col("size") < 2 * F.col("_gap")))
+    last = beyond.groupBy("_s").agg(F.min(F.struct("size", "_key", "doc_id", "_crc", "_uid")).getField("_uid").alias("_last"))
+    out = out.join(last, "_s", "left").withColumn("_drawn", F.col("_drawn") | F.coalesce(F.col("_uid") == F.col("_last"), F.lit(False)))
+    out = out.withColumn("copies", F.col("_e") + F.when(F.col("_drawn"), 1).otherwise(0))
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "_crc")
 
 
