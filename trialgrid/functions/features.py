@@ -48,7 +48,10 @@ def trial_features(trials: DataFrame) -> DataFrame:
     ``trials``: subject, epoch, step, lexical, slider, pair, left (the letter shown on the left). The sign of a response
     turns where the left letter isn't the pair's first. Sizes by subject are small, so they are joined back.
     """
-    stats = trials.groupBy("subject").agg(F.min("step").alias("_lo"), F.max("step").alias("_hi"), (F.sum_distinct("step") / F.count_distinct("step")).alias("_mid"))
+    sign = F.when(F.col("left") != F.substring("pair", 1, 1), -1).otherwise(1)
+    answer = sign * (F.col("slider") - 5.5) / 4.5
+    ranges = [F.min(answer).alias("_low"), F.max(answer).alias("_high")]
+    stats = trials.groupBy("subject").agg(F.min("step").alias("_lo"), F.max("step").alias("_hi"), (F.sum_distinct("step") / F.count_distinct("step")).alias("_mid"), *ranges)
     rows = trials.join(stats, "subject")
     span = F.nullif((F.col("_hi") - F.col("_lo")).cast("double"), F.lit(0.0))
     rows = rows.withColumn("linear_cue", (F.col("step") - F.col("_mid")) / span * 2).withColumn("category_cue", F.when(F.col("linear_cue") > 0, 1).otherwise(-1)).withColumn("lexical_cue", 2 * F.col("lexical") - 1)
@@ -59,11 +62,9 @@ def trial_features(trials: DataFrame) -> DataFrame:
     rows = rows.withColumn("stratum", F.concat_ws(" ", "pair", F.when(F.col("mismatch") == 1, "mismatch").otherwise("match")))
     first, second = F.substring("pair", 1, 1), F.substring("pair", 2, 1)
     rows = rows.withColumn("heard", F.when(F.col("category_cue") < 0, first).otherwise(second)).withColumn("meant", F.when(F.col("lexical_cue") < 0, first).otherwise(second))
-    rows = rows.withColumn("response_sign", F.when(F.col("left") != first, -1).otherwise(1))
-    rows = rows.withColumn("linear_response", F.col("response_sign") * (F.col("slider") - 5.5) / 4.5).withColumn("response_bin", F.round(response_bin(F.col("linear_response")), 6))
+    rows = rows.withColumn("response_sign", sign).withColumn("linear_response", answer).withColumn("response_bin", F.round(response_bin(F.col("linear_response")), 6))
     rows = rows.withColumn("forced_response", F.signum("linear_response").cast("int")).withColumn("dummy_response", F.when(F.col("slider").isin(5.0, 6.0), 0).otherwise(F.col("forced_response"))).withColumn("forced_dummy", (F.col("forced_response") > 0).cast("int"))
-    own = Window.partitionBy("subject")
-    low, high = F.min("linear_response").over(own), F.max("linear_response").over(own)
+    low, high = F.col("_low"), F.col("_high")
     rows = rows.withColumn("rescaled_step", (F.col("step") - F.col("_lo")) / span * (high - low) + low).withColumn("response_shift", F.col("linear_response") - F.col("rescaled_step")).withColumn("bin_shift", F.col("response_bin") - F.col("rescaled_step"))
     rows = rows.withColumn("response_label", sign_label(F.col("dummy_response"), first, second)).withColumn("forced_label", F.when(F.col("forced_response") < 0, first).when(F.col("forced_response") > 0, second))
     rows = rows.withColumn("follows_acoustics", F.col("forced_response") == F.col("category_cue"))
@@ -71,7 +72,7 @@ def trial_features(trials: DataFrame) -> DataFrame:
     rows = rows.withColumn("meant_answered", F.concat(F.lit("L"), "meant", F.lit("B"), "response_label")).withColumn("heard_mark", F.concat(F.lit("A"), "heard")).withColumn("answer_mark", F.concat(F.lit("B"), "response_label"))
     for name, cue in (("answer_by_acoustics", "category_cue"), ("answer_by_lexical", "lexical_cue"), ("answer_by_mismatch", "directed_mismatch")):
         rows = rows.withColumn(name, F.col("dummy_response") * F.col(cue))
-    return rows.withColumn("inference", F.concat("heard", F.lit("→"), "meant")).drop("_lo", "_hi", "_mid")
+    return rows.withColumn("inference", F.concat("heard", F.lit("→"), "meant")).drop("_lo", "_hi", "_mid", "_low", "_high")
 
 
 def zero_crossings(features: DataFrame) -> DataFrame:

@@ -67,6 +67,20 @@ def realigned(samples: str, shift: Column, length: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.get(F.col(samples), (i + shift).cast("int")))
 
 
+def aligned_to_event(df: DataFrame, at: str, anchor: int) -> DataFrame:
+    """Signals moved so that the sample ``at`` stands at ``anchor``, null where there is none; ``at`` stays.
+
+    A signal whose event lies behind its end, or has none, goes. All are cut at the end of the longest of those that moved
+    to the left; if none did, none is cut.
+    """
+    shift = F.col(at) - anchor
+    rows = df.where(F.col(at) < F.size("samples"))
+    longest = rows.agg(F.max(F.when(shift > 0, F.size("samples") - shift)).alias("_n"))  # one row
+    moved = F.transform(F.sequence(F.lit(0), F.size("samples") - 1), lambda i: F.get("samples", (i + shift).cast("int")))
+    rows = rows.withColumn("samples", moved).crossJoin(F.broadcast(longest))
+    return rows.withColumn("samples", F.when(F.col("_n").isNull(), F.col("samples")).otherwise(F.slice("samples", F.lit(1), F.col("_n").cast("int")))).drop("_n")
+
+
 def aligned_to_peak(df: DataFrame, half: int) -> DataFrame:
     """The samples around the largest one, ``half`` on each side; signals whose window leaves the array go."""
     at = (F.array_position("samples", F.array_max("samples")) - 1).cast("int")

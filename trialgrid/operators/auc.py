@@ -15,8 +15,10 @@ def grouped_auc(rows: DataFrame, target: str, proba: str, group: list[str], name
     """ROC-AUC by group from rank sums (Mann-Whitney, ties shared): group, n, n_pos, name; null where one class is missing.
 
     Rows are first summed by (group, score), so a large group doesn't sort its rows in one task but its distinct scores.
+    A target other than 0 and 1, null too, ends the job with an error.
     """
-    by_score = rows.groupBy(*group, proba).agg(F.count("*").alias("_k"), F.sum(target).alias("_p"))
+    binary = F.when(F.col(target).isin(0, 1), F.col(target)).otherwise(F.raise_error(F.lit(f"{target} is not 0 or 1")).cast("int"))
+    by_score = rows.groupBy(*group, proba).agg(F.count("*").alias("_k"), F.sum(binary).alias("_p"))
     below = F.coalesce(F.sum("_k").over(Window.partitionBy(*group).orderBy(proba).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = by_score.withColumn("_r", below + (F.col("_k") + 1) / F.lit(2.0))
     out = ranked.groupBy(*group).agg(F.sum("_k").alias("n"), F.sum("_p").alias("n_pos"), F.sum(F.col("_r") * F.col("_p")).alias("_s"))

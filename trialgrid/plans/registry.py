@@ -319,6 +319,13 @@ def realigned_signals(spark, d):
     return epochs(spark, d).withColumn("samples", ar.realigned("samples", F.col("epoch") % 20, 30))
 
 
+@query("""WITH t AS (SELECT *, (5 + epoch % 80)::INT AS "event" FROM v_epochs), k AS (SELECT * FROM t WHERE "event" < len(samples)), n AS (SELECT max(len(samples) - ("event" - 20)) AS n FROM k WHERE "event" > 20)
+  SELECT epoch, channel, cls, "event", [CASE WHEN i + "event" - 20 >= 0 THEN samples[i + "event" - 20 + 1] END FOR i IN range(len(samples))][1 : coalesce(n, len(samples))] AS samples FROM k, n""")
+def event_aligned_signals(spark, d):
+    """Signals with their event at sample 20; events behind the signal go."""
+    return ar.aligned_to_event(epochs(spark, d).withColumn("event", (5 + F.col("epoch") % 80).cast("int")), "event", 20)
+
+
 @query("SELECT epoch, channel, cls, samples[p - 4 : p + 6] AS samples, p::INT AS peak FROM (SELECT *, list_position(samples, list_max(samples)) - 1 AS p FROM v_epochs) WHERE p >= 5 AND p + 5 < len(samples)")
 def peak_aligned_signals(spark, d):
     return ar.aligned_to_peak(epochs(spark, d), 5)
