@@ -96,7 +96,8 @@ def percentile_columns(rows: DataFrame, value: str | Column, shares: dict[str, f
 def value_ranks(rows: DataFrame, value: str, group: list[str] | None = None) -> DataFrame:
     """``group``, ``value``, before, n: each distinct value that isn't null, the rows of its group below it, and its own."""
     group = list(group or [])
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("n"))
+    # stored, as ranges are found by a pass of their own
+    counts = stored(rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("n")))
     spark = rows.sparkSession
     dealt = stored(counts.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *group, value).withColumn("_p", F.spark_partition_id()).withColumn("_g", group_key(group)))
     sizes = dealt.groupBy("_g", "_p").agg(F.sum("n").alias("_n"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from trialgrid.operators.quantiles import average_ranks, correlation
 from trialgrid.operators.relational import hash_order, seeded_places
+from trialgrid.sources.storage import stored
 
 
 def counterfactual_draws(outputs: DataFrame, trials: DataFrame, subject: str, condition: list[str], stratum: list[str], trial: str, value: str, repeats: int) -> DataFrame:
@@ -46,7 +47,7 @@ def counterfactual_correlations(outputs: DataFrame, responses: DataFrame, subjec
     aggregate over arrays of ranks. r is null where a side is constant.
     """
     drawn = counterfactual_draws(outputs, responses.select(subject, *condition, *stratum, trial).distinct(), subject, condition, stratum, trial, value, repeats)
-    drawn = average_ranks(drawn, value, [subject, *condition, "other", "repeat"], "_rx")
+    drawn = average_ranks(stored(drawn), value, [subject, *condition, "other", "repeat"], "_rx")
     at = [subject, *condition, trial]
     by_repeat = F.map_from_entries(F.collect_list(F.struct("repeat", "_rx")))
     drawn = drawn.groupBy(*at, "other").agg(by_repeat.alias("_m")).select(*at, "other", F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda r: F.element_at("_m", r)).alias("_xs"))

@@ -256,8 +256,9 @@ def _permutation(spark: SparkSession, d: str) -> DataFrame:
     rows = predictions(spark, d)
     gap = lambda t: F.round(F.avg(F.when(t == 1, F.col("proba"))) - F.avg(F.when(t == 0, F.col("proba"))), 9)
     true = rows.groupBy("site").agg(gap(F.col("target")).alias("gap"))
-    label = lambda k: (rel.hash_order("epoch", F.lit(k * 97) + F.col("smin")) < rel.HASH_MODULUS // 3).cast("int")
-    permuted = rows.groupBy("site").agg(F.array(*[gap(label(k)) for k in range(20)]).alias("gaps")).select("site", F.posexplode("gaps").alias("permutation", "gap"))
+    copies = rows.withColumn("permutation", F.explode(F.sequence(F.lit(0), F.lit(19))))
+    label = (rel.hash_order("epoch", F.col("permutation") * 97 + F.col("smin")) < rel.HASH_MODULUS // 3).cast("int")
+    permuted = copies.withColumn("t", label).groupBy("site", "permutation").agg(gap(F.col("t")).alias("gap"))  # summed before it is shuffled
     return stats.permutation_p(true, permuted, ["site"], "gap")
 
 
