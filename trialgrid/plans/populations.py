@@ -30,7 +30,7 @@ _DRAWS = f"""have AS (SELECT subject AS other, pair, step, lexical, count(*) AS
 _RANK = "rank() OVER (PARTITION BY {by} ORDER BY {x}) + (count(*) OVER (PARTITION BY {by}, {x}) - 1) / 2.0"
 _RANKED = f"""WITH {_SITES}, {_DRAWS}, rx AS (SELECT *, {_RANK.format(by="subject, pair, other, r", x="value")} AS x FROM drawn), ry AS (SELECT *, {_RANK.format(by="subject, pair, site", x="response")} AS y FROM sites)"""
 _CORR = "CASE WHEN var_pop(x) > 1e-12 AND var_pop(y) > 1e-12 THEN corr(x, y) END"
-_COUNTERFACTUAL = f"{_RANKED} SELECT subject, pair, site, other, r AS repeat, {_CORR} AS r FROM rx JOIN ry USING (subject, pair, epoch) GROUP BY subject, pair, site, other, r"
+_COUNTERFACTUAL = f"{_RANKED} SELECT subject, pair, site, other, r::INT AS repeat, {_CORR} AS r FROM rx JOIN ry USING (subject, pair, epoch) GROUP BY subject, pair, site, other, r"
 _OBSERVED = f"SELECT subject, pair, site, {_CORR} AS r FROM (SELECT *, {_RANK.format(by='subject, pair', x='value')} AS x FROM v_trials) JOIN ry USING (subject, pair, epoch) GROUP BY subject, pair, site"
 
 
