@@ -77,18 +77,21 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     # so no bucket is hot, whatever the weights
     steps = bucket_count(rows.count(), 1024)
     rows = rows.withColumn("_b", F.floor(F.log2(F.greatest("_key", F.lit(1e-300))) * steps))
-    parts = rows.groupBy("_s", "_b").agg(F.sum("size").alias("_n"))
+    parts = stored(rows.groupBy("_s", "_b").agg(F.sum("size").alias("_n")))
+    # what belongs to a source reaches its rows by bucket, so that a source with a third of all rows is no single task
+    by_bucket = lambda per_source: parts.select("_s", "_b").join(per_source, "_s")
     targets = source_targets(parts.groupBy("_s").agg(F.sum("_n").alias("source_size")), weights, most)
     run = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + F.lit(1e-12))).otherwise(0)
     targets = targets.withColumn("_e", epochs.cast("long"))
     rest = F.greatest(F.col("target") - F.col("_e") * F.col("source_size"), F.lit(0.0))
-    out = rows.join(targets.withColumn("_rest", F.when(rest > 1e-6, rest).otherwise(-1.0)), "_s").withColumn("_drawn", F.lit(False))
+    targets = targets.withColumn("_rest", F.when(rest > 1e-6, rest).otherwise(-1.0))
+    out = rows.join(by_bucket(targets), ["_s", "_b"]).withColumn("_drawn", F.lit(False))
     inside = Window.partitionBy("_s", "_b").orderBy("_key", "doc_id", "_crc", "size").rowsBetween(Window.unboundedPreceding, -1)
     for k in range(MOST_PASSES):
         # what is missing, the documents that fit into it, and their running size: buckets first, then inside each
         missing = out.groupBy("_s").agg((F.first("_rest") - F.coalesce(F.sum(F.when(F.col("_drawn"), F.col("size"))), F.lit(0))).alias("_gap"))
-        out = out.join(missing, "_s")
+        out = out.join(by_bucket(missing), ["_s", "_b"])
         fits = F.when(~F.col("_drawn") & (F.col("size") <= F.col("_gap")) if k else F.lit(True), F.col("size"))
         sums = out.groupBy("_s", "_b").agg(F.coalesce(F.sum(fits), F.lit(0)).alias("_n"))
         firsts = sums.withColumn("_before", F.coalesce(F.sum("_n").over(run), F.lit(0))).drop("_n")
@@ -100,9 +103,9 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
             break
     # one document more, the shortest of those that don't fit, where that brings its source nearer
     missing = out.groupBy("_s").agg((F.first("_rest") - F.coalesce(F.sum(F.when(F.col("_drawn"), F.col("size"))), F.lit(0))).alias("_gap"))
-    beyond = out.where(~F.col("_drawn")).join(missing, "_s").where((F.col("size") > F.col("_gap")) & (F.col("size") < 2 * F.col("_gap")))
+    beyond = out.where(~F.col("_drawn")).join(by_bucket(missing), ["_s", "_b"]).where((F.col("size") > F.col("_gap")) & (F.col("size") < 2 * F.col("_gap")))
     last = beyond.groupBy("_s").agg(F.min(F.struct("size", "_key", "doc_id", "_crc", "_uid")).getField("_uid").alias("_last"))
-    out = out.join(last, "_s", "left").withColumn("_drawn", F.col("_drawn") | F.coalesce(F.col("_uid") == F.col("_last"), F.lit(False)))
+    out = out.join(by_bucket(last), ["_s", "_b"], "left").withColumn("_drawn", F.col("_drawn") | F.coalesce(F.col("_uid") == F.col("_last"), F.lit(False)))
     out = out.withColumn("copies", F.col("_e") + F.when(F.col("_drawn"), 1).otherwise(0))
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "_crc")
 
