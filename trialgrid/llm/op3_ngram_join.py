@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trialgrid.llm.components import components
-from trialgrid.llm.shared import drop_stored, free_name, partitions, small_or_shuffled, stored, tidy
+from trialgrid.llm.shared import drop_stored, free_name, partitions, small_or_shuffled, stored, stored_rows, tidy
 from trialgrid.llm.textbytes import chunks, mix, shingles
 
 #: Threshold 4 / 5, and the words of a shingle.
@@ -384,7 +384,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
     # the token sets that verification needs, each from one of its documents
     ends = near.select(F.col("a").alias("set_id")).union(near.select("b")).union(lists.select("set_id")).distinct()
     wanted = stored(known.join(ends, "set_id").select("doc_id"))
-    one = text.join(small_or_shuffled(wanted, wanted.count()), "doc_id")
+    one = text.join(small_or_shuffled(wanted, stored_rows(wanted)), "doc_id")
     tokens = stored(one.select("text").mapInArrow(tidy(_wanted_sets), "set_id long, n long, tokens binary"))
     x, y = tokens.select(F.col("set_id").alias("a"), F.col("tokens").alias("ta")), tokens.select(F.col("set_id").alias("b"), F.col("tokens").alias("tb"))
     links = stored(near.join(x, "a").join(y, "b").select("a", "ta", "b", "tb").mapInArrow(tidy(_similar), "a long, b long"))
@@ -394,7 +394,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
     rest = lists.join(group.toDF("set_id", "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     open_ = rest.groupBy("list").agg(F.min("root").alias("r"), F.max("root").alias("q")).where("r != q").select("list")
     rest = stored(rest.join(open_, "list").select("list", "set_id", "root"))
-    if rest.limit(1).count():
+    if stored_rows(rest):
         cluster = components(rest.join(centre, "list").select(F.col("set_id").alias("a"), F.col("centre").alias("b")).distinct())
         rest_sets = rest.select("set_id", "root").distinct().join(cluster.toDF("set_id", "cluster"), "set_id")
         links = links.union(stored(_verified_blocks(rest_sets, tokens)))
@@ -446,12 +446,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     gone = found.where("doc_id != component_id").select("doc_id", "set_id").distinct()
     if not found.groupBy("doc_id").count().where("count > 1").limit(1).count():
         gone = stored(gone.select("doc_id"))  # a doc_id is one row: its set needn't be found again
-        return docs.join(small_or_shuffled(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
+        return docs.join(small_or_shuffled(gone, stored_rows(gone)), "doc_id", "left_anti").select(*docs.columns)
     set_id, rank = free_name(docs, "set_id", "rank")
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema], f"`{set_id}` long"])
     rows = docs.mapInArrow(tidy(_with_set_id(docs.columns, set_id)), schema)
     gone = stored(gone.toDF("doc_id", set_id))
-    rows = rows.join(small_or_shuffled(gone, gone.count()), ["doc_id", set_id], "left_anti")
+    rows = rows.join(small_or_shuffled(gone, stored_rows(gone)), ["doc_id", set_id], "left_anti")
     # of equal doc_ids in one component only the least set stays, and of its rows one
     mine = found.where("doc_id = component_id").groupBy("doc_id", "component_id").agg(F.min("set_id").alias("least")).select("doc_id", "least")
     rows = rows.join(mine, "doc_id", "left")

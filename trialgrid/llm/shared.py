@@ -10,7 +10,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words everywhere in this subpackage: runs of anything but space and the five ASCII controls 9 to 13.
@@ -40,14 +40,20 @@ def stored(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again: lineage ends there, and a lost executor costs only a reread."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/trialgrid-{uuid.uuid4().hex}"
-    writer = df.write.mode("overwrite").option("compression", "zstd")
+    seen = Observation()
+    writer = df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
-    out._stored_at = path  # so that drop_stored can find it
+    out._stored_at, out._stored_seen = path, seen  # so that drop_stored and stored_rows can find them
     return out
 
 
+def stored_rows(df: DataFrame) -> int:
+    """Rows of a table of ``stored``, as counted by the job that wrote it."""
+    return df._stored_seen.get["n"]
+
+
 def stored_sorted(df: DataFrame, key: str, buckets: int) -> DataFrame:
     """As ``stored``, dealt into ``buckets`` by the hash of ``key`` and sorted by it: joins of two such tables on ``key``
     move no rows. Spark keeps buckets in its catalog only, so this is an external table there until ``drop_stored``."""
