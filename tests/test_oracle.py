@@ -12,6 +12,7 @@ import trialgrid.plans.neurometrics  # noqa: F401
 import trialgrid.plans.phases  # noqa: F401
 import trialgrid.plans.populations  # noqa: F401
 import trialgrid.plans.regression  # noqa: F401
+import trialgrid.plans.studies  # noqa: F401
 import trialgrid.plans.transfer  # noqa: F401
 from trialgrid.plans.registry import QUERIES, SQL
 
