@@ -36,8 +36,8 @@ def seeded_places(rows: DataFrame, group: list[str], order: Column, key: str, ou
     sizes = named.groupBy("_g", "_b").agg(F.count("*").alias("_n"))
     sizes = sizes.withColumn("_f", F.coalesce(F.sum("_n").over(Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = F.row_number().over(Window.partitionBy("_g", "_b").orderBy("_o", key))
-    placed = named.withColumn("_i", inside).join(sizes.select("_g", "_b", "_f"), ["_g", "_b"])
-    return placed.withColumn(out, (F.col("_f") + F.col("_i")).cast("int")).drop("_o", "_b", "_g", "_f", "_i")
+    placed = named.withColumn("_in_bucket", inside).join(sizes.select("_g", "_b", "_f"), ["_g", "_b"])
+    return placed.withColumn(out, (F.col("_f") + F.col("_in_bucket")).cast("int")).drop("_o", "_b", "_g", "_f", "_in_bucket")
 
 
 def sampled(df: DataFrame, stratum: list[str], key: str, n: int, seed: int = 0) -> DataFrame:
@@ -46,9 +46,9 @@ def sampled(df: DataFrame, stratum: list[str], key: str, n: int, seed: int = 0)
     return df.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= n).drop("_n")
 
 
-def matched_sample(df: DataFrame, wanted: DataFrame, stratum: list[str], key: str, seed: int = 0) -> DataFrame:
+def matched_sample(df: DataFrame, wanted: DataFrame, stratum: list[str], key: str, seed: int = 0, most: int = 1 << 17) -> DataFrame:
     """As many rows of each stratum as ``wanted`` (stratum, k) says; with replacement, in turn, where there are too few."""
-    rows = seeded_places(df, stratum, hash_order(key, seed), key, "_i").withColumn("_i", F.col("_i") - 1)
+    rows = seeded_places(df, stratum, hash_order(key, seed), key, "_i", most).withColumn("_i", F.col("_i") - 1)
     draws = wanted.where("k > 0").select(*stratum, F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("draw"))
     sizes = df.groupBy(*stratum).agg(F.count("*").alias("_size"))
     picks = draws.join(sizes, stratum).withColumn("_i", F.pmod(F.col("draw"), F.col("_size")).cast("int")).drop("_size")
