@@ -78,7 +78,9 @@ def fisher_z(spark, d):
 def tuning_comparison(spark, d):
     """A site's preferred pair in two data sets, and whether they agree."""
     mean = lambda p: F.avg(F.when(F.col("pair") == p, F.col("value")))
-    pref = lambda rows, name: rows.groupBy("electrode").agg(F.when(mean("bm") > mean("dn"), "b").otherwise("d").alias(name))
+    # two means that are equal may differ in their last digits, as their sums are taken in any order
+    above = lambda a, b: (a > b) & (a - b > F.abs(b) * 1e-12)
+    pref = lambda rows, name: rows.groupBy("electrode").agg(F.when(above(mean("bm"), mean("dn")), "b").otherwise("d").alias(name))
     t = trials(spark, d)
     return pref(t.where("step <= 3"), "early").join(pref(t.where("step > 3"), "late"), "electrode").withColumn("same", F.col("early") == F.col("late"))
 
