@@ -45,3 +45,17 @@ def test_tuning_of_equal_means(spark, tmp_path):
     events = spark.createDataFrame([(7, i, t, v, f'{{"k": {k}}}') for i, (_, t, v, k) in enumerate(rows)], "user_id long, event_id long, event_type string, value double, props string")
     events.withColumn("ts", F.current_timestamp()).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     assert [tuple(r) for r in QUERIES["tuning_comparison"](spark, str(tmp_path)).select("electrode", "early", "late", "same").collect()] == [(7, "d", "d", True)]
+
+
+def test_counterfactual_sites_in_blocks(spark, monkeypatch):
+    """Correlations of sites that don't fit beside each other in a row of draws are the same."""
+    from trialgrid.operators import resampling as rs
+
+    rng = random.Random(4)
+    trials = [(i % 3, "a", i % 2, i, rng.randint(0, 5) / 2) for i in range(70)]
+    outputs = spark.createDataFrame(trials, "subject int, pair string, step int, epoch long, value double")
+    responses = outputs.select("subject", "pair", "step", "epoch", F.posexplode(F.array(*[F.pmod(F.col("epoch") * k, F.lit(7)) for k in (1, 2, 3)])).alias("site", "response"))
+    run = lambda: sorted((r.subject, r.other, r.site, r.repeat, round(r.r, 9)) for r in rs.counterfactual_correlations(outputs, responses, "subject", ["pair"], "site", ["step"], "epoch", "value", "response", 2).collect())
+    whole = run()
+    monkeypatch.setattr(rs, "SITES", 2)
+    assert len(whole) == 3 * 2 * 3 * 2 and run() == whole
