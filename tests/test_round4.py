@@ -59,3 +59,16 @@ def test_counterfactual_sites_in_blocks(spark, monkeypatch):
     whole = run()
     monkeypatch.setattr(rs, "SITES", 2)
     assert len(whole) == 3 * 2 * 3 * 2 and run() == whole
+
+
+def test_false_discovery_in_buckets(spark):
+    """q by rank with ties and a null, the same in any number of buckets."""
+    from trialgrid.operators import stats
+
+    ps = [0.001, 0.01, 0.01, 0.03, 0.2, 0.2, 0.21, 1.0, None]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(ps)], "k int, p double")
+    m, known = len(ps), [p for p in ps if p is not None]
+    want = [1.0 if p is None else min(1.0, min(q * m / (i + 1) for i, q in enumerate(known) if q >= p)) for p in ps]
+    for buckets in (1, 4, 4096):
+        got = [r.q for r in stats.false_discovery(df, "p", ["k"], buckets=buckets).orderBy("k").collect()]
+        assert all(abs(a - b) < 1e-12 for a, b in zip(got, want, strict=True))
