@@ -3,7 +3,7 @@
 Spark sums products of terms and outputs by cell of a split (outer and inner fold). A fit that leaves cells out takes
 their sums from the total, so no row is read again for a fold, a penalty, or a model without a block of terms; one
 decomposition of a training part serves all penalties. Sums are as large as the number of terms and not of rows. The
-solver sees one output of one group at a time, in batches.
+solver sees one output of one group at a time.
 """
 
 from __future__ import annotations
@@ -141,29 +141,28 @@ def nested_ridge(design: DataFrame, responses: DataFrame, group: list[str], tria
     grid, parts = np.array(alphas, float), dict(blocks or {})
     keys = [*group, *output]
 
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = []
-            for r in batch.to_dict("records"):
-                cells = sorted({(c["outer"], c["inner"]) for c in r["_xx"]})
-                names = sorted({c["term"] for c in r["_xx"]} | {c["other"] for c in r["_xx"]}, key=lambda t: (t != ONE, t))
-                at, place = {c: i for i, c in enumerate(cells)}, {t: i for i, t in enumerate(names)}
-                s = Sums(names, np.zeros((len(cells), len(names), len(names))), np.zeros((len(cells), len(names))), np.zeros(len(cells)))
-                for c in r["_xx"]:
-                    i, j = place[c["term"]], place[c["other"]]
-                    s.xx[at[c["outer"], c["inner"]], i, j] = s.xx[at[c["outer"], c["inner"]], j, i] = c["xx"]
-                for c in r["_xy"]:
-                    i = at[c["outer"], c["inner"]]
-                    s.xy[i, place[c["term"]]] = c["xy"]
-                    if c["term"] == ONE:
-                        s.yy[i] = c["yy"]
-                outer, inner = (np.array([c[i] for c in cells]) for i in (0, 1))
-                found += [{**{k: r[k] for k in keys}, "names": names, **fit, "r2": None if np.isnan(fit["r2"]) else fit["r2"], "unique": {b: None if np.isnan(v) else v for b, v in fit["unique"].items()}} for fit in (nested_fit(s, outer, inner, grid, parts, scaled) if len(set(outer)) > 1 else [])]
-            yield pd.DataFrame(found, columns=[*keys, "outer", "alpha", "r2", "names", "coef", "unique"])
+    def solve(one: pd.DataFrame) -> pd.DataFrame:
+        r = one.to_dict("records")[0]
+        cells = sorted({(c["outer"], c["inner"]) for c in r["_xx"]})
+        names = sorted({c["term"] for c in r["_xx"]} | {c["other"] for c in r["_xx"]}, key=lambda t: (t != ONE, t))
+        at, place = {c: i for i, c in enumerate(cells)}, {t: i for i, t in enumerate(names)}
+        s = Sums(names, np.zeros((len(cells), len(names), len(names))), np.zeros((len(cells), len(names))), np.zeros(len(cells)))
+        for c in r["_xx"]:
+            i, j = place[c["term"]], place[c["other"]]
+            s.xx[at[c["outer"], c["inner"]], i, j] = s.xx[at[c["outer"], c["inner"]], j, i] = c["xx"]
+        for c in r["_xy"]:
+            i = at[c["outer"], c["inner"]]
+            s.xy[i, place[c["term"]]] = c["xy"]
+            if c["term"] == ONE:
+                s.yy[i] = c["yy"]
+        outer, inner = (np.array([c[i] for c in cells]) for i in (0, 1))
+        found = [{**{k: r[k] for k in keys}, "names": names, **fit, "r2": None if np.isnan(fit["r2"]) else fit["r2"], "unique": {b: None if np.isnan(v) else v for b, v in fit["unique"].items()}} for fit in (nested_fit(s, outer, inner, grid, parts, scaled) if len(set(outer)) > 1 else [])]
+        return pd.DataFrame(found, columns=[*keys, "outer", "alpha", "r2", "names", "coef", "unique"])
 
     kinds = dict(rows.dtypes)
     schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "outer int", "alpha double", "r2 double", "names array<string>", "coef array<double>", "unique map<string,double>"])
-    return rows.mapInPandas(solve, schema)
+    # a call has the sums of one output; in batches of rows a worker's memory would grow with the number of groups
+    return rows.groupBy(*keys).applyInPandas(solve, schema)
 
 
 def nested_f_tests(rows: DataFrame, group: list[str], y: str, steps: list[list[str]]) -> DataFrame:
