@@ -22,16 +22,18 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, c: float, steps: int = 50, start:
     weight = c * np.where(y == 1, n / (2 * (y == 1).sum()), n / (2 * (y == 0).sum()))
     w = np.zeros(x.shape[1]) if start is None else start
     loss = lambda v: v @ v / 2 + weight @ np.logaddexp(0, -s * (x @ v))
+    now = loss(w)
     for _ in range(steps):
         p = 1 / (1 + np.exp(np.clip(s * (x @ w), -500, 500)))
         grad = w - x.T @ (weight * s * p)
         if np.abs(grad).max() < 1e-9:
             break
         move = np.linalg.solve(np.eye(len(w)) + (x.T * (weight * p * (1 - p))) @ x, grad)
-        rate, now = 1.0, loss(w)
-        while rate > 1e-10 and loss(w - rate * move) > now - 1e-4 * rate * (grad @ move):
+        # close to the end a step's gain is below the loss's own rounding, where halving it would go on for nothing
+        rate, most = 1.0, now + 1e-12 * now
+        while (new := loss(w - rate * move)) > most - 1e-4 * rate * (grad @ move) and rate > 1e-10:
             rate /= 2
-        w = w - rate * move
+        w, now = w - rate * move, new
     return w
 
 
@@ -71,7 +73,8 @@ def dealt(rows: DataFrame, group: list[str]) -> DataFrame:
 
 def _auc(y: np.ndarray, p: np.ndarray) -> float:
     n1, n0 = int((y == 1).sum()), int((y == 0).sum())
-    ranks = pd.Series(p).rank().to_numpy()
+    _, at, size = np.unique(p, return_inverse=True, return_counts=True)
+    ranks = (np.cumsum(size) - (size - 1) / 2)[at]
     return (ranks[y == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * n0) if n1 and n0 else np.nan
 
 
